@@ -22,9 +22,11 @@ from ..functions import (
 from ..operators import evaluate, extract, features, monitor, order_stats, quality, routing, upsert
 from ..operators import split as splitting
 from ..operators.normalize import NORMALIZED_COLUMNS, normalize, validate
+from ..session import cut_lineage
 from ..sources import tables
 
 NOW = "2001-12-01T00:00:00+00:00"
+COUNTS = ["bedroom_count", "bathroom_count", "floor_count"]
 ARRIVAL = tables.LINEITEM_ARRIVAL
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -80,9 +82,14 @@ def trainable(df: DataFrame) -> DataFrame:
 
 
 def training_table(spark: SparkSession, d: str) -> DataFrame:
-    """Priced candidates of the stored feature table, keyed by url."""
+    """Priced candidates of the stored feature table, keyed by url, materialised for the passes over it."""
     columns = [*fixed.NUMERIC_FEATURES, *fixed.CATEGORICAL_FEATURES, fixed.TEXT_FEATURE, fixed.TARGET]
-    return trainable(current_features(spark, d)).select("url", *columns)
+    return cut_lineage(trainable(current_features(spark, d)).select("url", *columns))
+
+
+def counts_as_double(df: DataFrame, *columns: str) -> DataFrame:
+    """Nullable counts as DOUBLE, which every engine and client prints alike."""
+    return df.withColumns({c: F.col(c).cast("double") for c in columns or COUNTS})
 
 
 def joined(column: str) -> F.Column:
@@ -104,7 +111,7 @@ def scan_trainable(spark, d):
 
 @query
 def export_candidates(spark, d):
-    return listings(spark, d).where("is_model_candidate").select(*NORMALIZED_COLUMNS)
+    return counts_as_double(listings(spark, d).where("is_model_candidate").select(*NORMALIZED_COLUMNS))
 
 
 SAMPLE_COLUMNS = [
@@ -232,7 +239,8 @@ def parse_number_query(spark, d):
 def parse_int_query(spark, d):
     return raw(spark, d).select(
         "bedroom_text", "floor_text",
-        parse_int(F.col("bedroom_text")).alias("bedrooms"), parse_int(F.col("floor_text")).alias("floors"),
+        parse_int(F.col("bedroom_text")).cast("double").alias("bedrooms"),
+        parse_int(F.col("floor_text")).cast("double").alias("floors"),
     )
 
 
@@ -269,7 +277,7 @@ def model_candidates(spark, d):
 
 @query
 def normalize_listings(spark, d):
-    return listings(spark, d).select(*NORMALIZED_COLUMNS)
+    return counts_as_double(listings(spark, d).select(*NORMALIZED_COLUMNS))
 
 
 # Validation and routing
@@ -294,7 +302,7 @@ def requests(spark, d):
 @query
 def validate_requests(spark, d):
     return requests(spark, d).select(
-        "area_m2", "bedroom_count", "bathroom_count", "floor_count", "front_width_m", "road_width_m",
+        "area_m2", "bedroom_count", "bathroom_count", F.col("floor_count").cast("double"), "front_width_m", "road_width_m",
         F.array_join(quality.request_errors(), ",").alias("errors"),
     )
 
@@ -302,7 +310,7 @@ def validate_requests(spark, d):
 @query
 def request_error_codes(spark, d):
     return requests(spark, d).select(
-        "area_m2", "bedroom_count", "floor_count", "front_width_m", "property_type",
+        "area_m2", "bedroom_count", F.col("floor_count").cast("double"), "front_width_m", "property_type",
         F.array_join(quality.request_codes(), ",").alias("codes"),
     )
 
@@ -321,12 +329,12 @@ def training_gate(spark, d):
 
 @query
 def latest_features(spark, d):
-    return current_features(spark, d)
+    return counts_as_double(current_features(spark, d))
 
 
 @query
 def latest_invalid(spark, d):
-    return current_invalid(spark, d).withColumn("validation_errors", F.array_join("validation_errors", ","))
+    return counts_as_double(current_invalid(spark, d)).withColumn("validation_errors", F.array_join("validation_errors", ","))
 
 
 @query
@@ -350,6 +358,7 @@ def route_messages(spark, d):
         "price_vnd", "area_m2", "bedroom_count", "road_width_m", "verified", joined("validation_errors"),
     )
     lost = dead.select(*routing.POSITION, F.lit("dead").alias("branch"))
+    routed = counts_as_double(routed, "bedroom_count", "verified")
     return routed.unionByName(lost, allowMissingColumns=True)
 
 
@@ -649,7 +658,7 @@ def train_test_sizes(spark, d):
 
 @query
 def impute_median(spark, d):
-    rows = listings(spark, d)
+    rows = cut_lineage(listings(spark, d).select("url", "updated_at", *fixed.NUMERIC_FEATURES))
     middle = order_stats.medians(rows, fixed.NUMERIC_FEATURES)
     filled = {c: F.coalesce(F.col(c).cast("double"), F.lit(m)) for c, m in middle.items() if m is not None}
     return rows.select("url", "updated_at", *[column.alias(c) for c, column in filled.items()])
@@ -657,7 +666,7 @@ def impute_median(spark, d):
 
 @query
 def standardize(spark, d):
-    rows = listings(spark, d)
+    rows = cut_lineage(listings(spark, d).select("url", *fixed.NUMERIC_FEATURES))
     stats = features.numeric_stats(rows, fixed.NUMERIC_FEATURES)
     return rows.select(
         "url", *[F.round(features.standardized(c, s), 6).alias(c) for c, s in stats.items() if s is not None]
@@ -674,7 +683,7 @@ def impute_mode(spark, d):
 @query
 def one_hot(spark, d):
     """Categories of all listings, encoded with the vocabulary of the urls that end in an even digit."""
-    rows = current_features(spark, d)
+    rows = cut_lineage(current_features(spark, d).select("url", *fixed.CATEGORICAL_FEATURES))
     vocabulary = features.category_counts(rows.where("url rlike '[02468]$'"), fixed.CATEGORICAL_FEATURES)
     return features.one_hot_entries(rows, "url", fixed.CATEGORICAL_FEATURES, vocabulary)
 

@@ -114,14 +114,14 @@ _MESSAGE_FIELDS = {
     "url": "coalesce('\"' || url || '\"', 'null')",
     "title": "'\"' || replace(title, '\t', ' ') || '\"'",
     "price_text": "coalesce('\"' || price_text || '\"', 'null')",
-    "area_text": "case when offset % 5 = 0 then '1.234' else coalesce('\"' || area_text || '\"', 'null') end",
-    "bedroom_text": "case when offset % 4 = 0 then '2.5' when offset % 4 = 1 then 'true' "
+    "area_text": "case when pos % 5 = 0 then '1.234' else coalesce('\"' || area_text || '\"', 'null') end",
+    "bedroom_text": "case when pos % 4 = 0 then '2.5' when pos % 4 = 1 then 'true' "
     "else coalesce('\"' || bedroom_text || '\"', 'null') end",
-    "road_width_text": "case when offset % 3 = 0 then '-5' else '\"-5 m\"' end",
+    "road_width_text": "case when pos % 3 = 0 then '-5' else '\"-5 m\"' end",
     "property_type": "coalesce('\"' || property_type || '\"', 'null')",
     "province_slug": "coalesce('\"' || province_slug || '\"', 'null')",
     "district_slug": "coalesce('\"' || district_slug || '\"', 'null')",
-    "verified": "case when offset % 41 = 0 then '\"yes\"' when offset % 2 = 0 then '\"1\"' else '0' end",
+    "verified": "case when pos % 41 = 0 then '\"yes\"' when pos % 2 = 0 then '\"1\"' else '0' end",
     "scraped_at": "'\"' || scraped_at || '\"'",
 }
 # Fields missing from every so many-th message (by offset remainder).
@@ -134,14 +134,14 @@ def _message_value() -> str:
         item = f"'\"{name}\":' || {text}"
         if name in _ABSENT:
             modulus, rest = _ABSENT[name]
-            item = f"case when offset % {modulus} = {rest} then '' else ',' || {item} end"
+            item = f"case when pos % {modulus} = {rest} then '' else ',' || {item} end"
         elif name != "url":
             item = f"',' || {item}"
         parts.append(item)
     whole = "'{' || " + " || ".join(parts) + " || '}'"
     return (
-        f"case when offset % 50 = 7 then '{{\"url\":' when offset % 50 = 8 then '[1, 2]' "
-        f"when offset % 50 = 9 then '\"text\"' else {whole} end"
+        f"case when pos % 50 = 7 then '{{\"url\":' when pos % 50 = 8 then '[1, 2]' "
+        f"when pos % 50 = 9 then '\"text\"' else {whole} end"
     )
 
 
@@ -151,10 +151,10 @@ MESSAGE_VALUE = _message_value()
 def listing_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyed raw messages out of orders: (key, value, topic, partition, offset), the offset unique."""
     seeds = read(spark, sf_dir, "orders").selectExpr(
-        *raw_select(ORDER_SEEDS), "o_orderkey as offset", "cast(o_custkey % 3 as int) as partition"
+        *raw_select(ORDER_SEEDS), "o_orderkey as pos", "cast(o_custkey % 3 as int) as partition"
     )
     return seeds.selectExpr(
-        "url as key", f"{MESSAGE_VALUE} as value", "'real_estate_raw' as topic", "partition", "offset"
+        "url as key", f"{MESSAGE_VALUE} as value", "'real_estate_raw' as topic", "partition", "pos as offset"
     )
 
 
