@@ -24,6 +24,7 @@ from ..operators import split as splitting
 from ..operators.normalize import NORMALIZED_COLUMNS, normalize, validate
 from ..session import cut_lineage
 from ..sources import tables
+from . import training
 
 NOW = "2001-12-01T00:00:00+00:00"
 COUNTS = ["bedroom_count", "bathroom_count", "floor_count"]
@@ -701,6 +702,66 @@ def tfidf_terms(spark, d):
     return entries.select("doc_id", "term", F.round("value", 6).alias("value"))
 
 
+@query
+def design_matrix(spark, d):
+    """Design matrix of the training listings in coordinate form."""
+    rows = training_table(spark, d)
+    stats = features.numeric_stats(rows, fixed.NUMERIC_FEATURES)
+    counts = features.category_counts(rows, fixed.CATEGORICAL_FEATURES)
+    filled = features.fill_modes(rows, fixed.CATEGORICAL_FEATURES, features.mode_values(counts))
+    weights = features.term_weights(rows, fixed.TEXT_FEATURE, features.ngram_vocabulary(rows, fixed.TEXT_FEATURE))
+    entries = features.design_entries(filled, "url", stats, counts, weights)
+    return entries.withColumn("value", F.round("value", 6))
+
+
+# Boosting rounds and depth of the registered model queries. The library's defaults are the model's own 250 rounds
+# of depth 8; a fit of that size takes far longer than a check run allows.
+QUERY_SETTINGS = training.Settings(boost_rounds=4, boost_depth=4)
+_FITTED: dict[tuple[str, str], training.TrainResult] = {}
+
+
+def fitted(spark, d) -> training.TrainResult:
+    """The model trained once per session and data set for all queries below."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _FITTED:
+        _FITTED[key] = training.train(training_table(spark, d), QUERY_SETTINGS)
+    return _FITTED[key]
+
+
+def _in_log_space(spark, d, column: str) -> DataFrame:
+    scored = fitted(spark, d).model.transform(training_table(spark, d))
+    return evaluate.regression_metrics(scored, F.log1p(fixed.TARGET), F.col(column))
+
+
+@query
+def ridge_fit(spark, d):
+    return _in_log_space(spark, d, "ridge_log")
+
+
+@query
+def gbt_fit(spark, d):
+    return _in_log_space(spark, d, "boost_log")
+
+
+@query
+def ensemble_score(spark, d):
+    scored = fitted(spark, d).model.transform(training_table(spark, d))
+    return scored.select("url", "ridge_log", "boost_log", fixed.TARGET, "predicted_price_vnd")
+
+
+@query
+def scored_listings(spark, d):
+    """Predictions for every stored listing, priced or not."""
+    scored = fitted(spark, d).model.transform(current_features(spark, d))
+    return scored.select("url", "price_vnd", "predicted_price_vnd", "predicted_price_billion_vnd")
+
+
+@query
+def batch_score_summary(spark, d):
+    renamed = requests(spark, d).withColumnsRenamed({"direction_text": "direction", "legal_text": "legal"})
+    return training.batch_summary(training.score_batch(renamed, fitted(spark, d).model))
+
+
 # Metrics and alerts
 
 
