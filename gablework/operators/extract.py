@@ -109,9 +109,8 @@ def unseen(links: DataFrame, seen: DataFrame, key: str = "link") -> DataFrame:
 
 def before_first_empty_page(pages: DataFrame, page: str, link_count: str) -> DataFrame:
     """Pages of a crawl in front of its first page without links."""
-    first_empty = pages.where(F.col(link_count) == 0).agg(F.min(page).alias("_first_empty"))
-    bounded = pages.withColumn("_one", F.lit(1)).join(first_empty.withColumn("_one", F.lit(1)), "_one")
-    return bounded.where(F.col("_first_empty").isNull() | (F.col(page) < F.col("_first_empty"))).select(*pages.columns)
+    first_empty = pages.where(F.col(link_count) == 0).agg(F.min(page)).scalar()
+    return pages.where(F.coalesce(F.col(page) < first_empty, F.lit(True)))
 
 
 def with_remaining_budget(links: DataFrame, order: list[str], max_items: int, emitted_before: int) -> DataFrame:

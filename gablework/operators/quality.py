@@ -65,14 +65,12 @@ def report(features: DataFrame, top: int = 20) -> DataFrame:
         ratio(F.col("model_candidates"), F.col("total_records")).alias("candidate_ratio"),
         ratio(F.col("records_with_target_price"), F.col("total_records")).alias("price_ratio"),
     )
-    one = F.lit(1).alias("_one")
-    joined = (
-        totals.withColumn("_one", one)
-        .join(listed(types, "property_type", "property_type_distribution").withColumn("_one", one), "_one")
-        .join(listed(best, "province_slug", "top_provinces").withColumn("_one", one), "_one")
-        .drop("_one")
+    whole = totals.select(
+        "*",
+        listed(types, "property_type", "property_type_distribution").scalar().alias("property_type_distribution"),
+        listed(best, "province_slug", "top_provinces").scalar().alias("top_provinces"),
     )
-    return joined.select(F.to_json(F.struct(*joined.columns), {"ignoreNullFields": "false"}).alias("report"))
+    return whole.select(F.to_json(F.struct(*whole.columns), {"ignoreNullFields": "false"}).alias("report"))
 
 
 def completeness(df: DataFrame, limits: dict[str, float]) -> DataFrame:

@@ -38,6 +38,6 @@ def cut_lineage(df):
     """Reliable checkpoint: survives the loss of executors, unlike cached or local blocks."""
     spark = df.sparkSession
     context = spark.sparkContext
-    if not context._jsc.sc().getCheckpointDir().isDefined():
+    if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint(eager=True)
