@@ -46,6 +46,7 @@ _NUMBERS = {
 }
 _COUNTS = {"bedroom_count", "bathroom_count", "floor_count"}
 
+# The columns of a normalised listing, in record order.
 NORMALIZED_COLUMNS = [
     "url",
     "listing_id",
@@ -138,9 +139,3 @@ def normalize(df: DataFrame, now: Column | None = None, keep: list[str] | None =
 def validate(df: DataFrame) -> DataFrame:
     """Add ``validation_errors``; a listing is valid when it is empty."""
     return df.withColumn("validation_errors", validation_errors())
-
-
-def split_valid(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid without the error column, invalid with it) of a validated frame."""
-    count = F.size("validation_errors")
-    return df.where(count == 0).drop("validation_errors"), df.where(count > 0)

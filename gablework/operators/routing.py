@@ -9,6 +9,7 @@ from .. import fixed
 from ..sources.values import flag_field
 from .normalize import NORMALIZED_COLUMNS, normalize, validate
 
+# The fields of a raw listing record, in record order.
 RAW_FIELDS = [
     "url",
     "listing_id",
@@ -72,6 +73,20 @@ def route(messages: DataFrame, now: Column | None = None) -> tuple[DataFrame, Da
     return validate(listings), dead_letters(decoded.where("error is not null"))
 
 
+def routed(messages: DataFrame, now: Column | None = None) -> DataFrame:
+    """Every message once with its ``branch`` (feature, invalid or dead), in a single pass.
+
+    Listing columns of dead messages are NULL; ``validation_errors`` is empty for features.
+    """
+    decoded = decode(messages)
+    fields = [F.try_variant_get("payload", f"$.{name}", "variant").alias(name) for name in RAW_FIELDS]
+    checked = validate(normalize(decoded.select(*fields, *POSITION, "error"), now, keep=[*POSITION, "error"]))
+    alive = F.col("error").isNull()
+    listing = [F.when(alive, F.col(c)).alias(c) for c in [*NORMALIZED_COLUMNS, "validation_errors"]]
+    branch = F.when(~alive, "dead").when(F.size("validation_errors") == 0, "feature").otherwise("invalid")
+    return checked.select(*POSITION, branch.alias("branch"), "error", *listing)
+
+
 def dead_letters(decoded: DataFrame) -> DataFrame:
     """Undecodable messages in the dead-letter layout; the value is kept as bytes and so never lost."""
     return decoded.select(

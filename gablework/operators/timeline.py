@@ -74,11 +74,16 @@ def held_since(df: DataFrame, series: list[str], condition: Column, ts: str = "t
     ends = ends.withColumn(
         "_carry", F.when(F.col("_breaks") > 0, F.lag("_until_now").over(past)).otherwise(F.col("_within"))
     )
-    joined = rows.join(ends.select(*keys, "_carry"), keys)
+    # NULL is a series of its own, so the keys are compared null-safely.
+    sides = ends.select(*[F.col(k).alias(f"_end{i}") for i, k in enumerate(keys)], "_carry")
+    same = [F.col(k).eqNullSafe(F.col(f"_end{i}")) for i, k in enumerate(keys)]
+    joined = rows.join(sides, same)
     since = F.when(
         F.col("_holds"), F.when(F.col("_broken") == 0, F.coalesce("_carry", "_start")).otherwise(F.col("_start"))
     )
-    return joined.withColumn("since", since).drop("_chunk", "_holds", "_broken", "_start", "_carry")
+    return joined.withColumn("since", since).drop(
+        "_chunk", "_holds", "_broken", "_start", "_carry", *[f"_end{i}" for i in range(len(keys))]
+    )
 
 
 def firing(df: DataFrame, series: list[str], condition: Column, hold: float, ts: str = "ts", chunk: float = 3600) -> DataFrame:

@@ -115,6 +115,7 @@ def export_candidates(spark, d):
     return counts_as_double(listings(spark, d).where("is_model_candidate").select(*NORMALIZED_COLUMNS))
 
 
+# The columns of the raw sample, in file order.
 SAMPLE_COLUMNS = [
     "url",
     "listing_id",
@@ -353,14 +354,12 @@ def raw_field_merge(spark, d):
 
 @query
 def route_messages(spark, d):
-    checked, dead = routing.route(tables.listing_messages(spark, d), F.lit(NOW))
-    routed = checked.select(
-        *routing.POSITION, "url", F.when(F.size("validation_errors") == 0, "feature").otherwise("invalid").alias("branch"),
-        "price_vnd", "area_m2", "bedroom_count", "road_width_m", "verified", joined("validation_errors"),
+    rows = routing.routed(tables.listing_messages(spark, d), F.lit(NOW))
+    shown = rows.select(
+        *routing.POSITION, "url", "branch", "price_vnd", "area_m2", "bedroom_count", "road_width_m", "verified",
+        joined("validation_errors"),
     )
-    lost = dead.select(*routing.POSITION, F.lit("dead").alias("branch"))
-    routed = counts_as_double(routed, "bedroom_count", "verified")
-    return routed.unionByName(lost, allowMissingColumns=True)
+    return counts_as_double(shown, "bedroom_count", "verified")
 
 
 @query
@@ -772,37 +771,37 @@ def rounded(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
 @query
 def counter_rate(spark, d):
     names = [fixed.CONSUMED, fixed.PROCESSED, fixed.FAILED]
-    return rounded(monitor.counter_rate(tables.metric_samples(spark, d), names), "rate")
+    return rounded(monitor.counter_rate(tables.metric_samples(spark, d, [fixed.CONSUMED, fixed.PROCESSED, fixed.FAILED]), names), "rate")
 
 
 @query
 def alert_error_rate(spark, d):
-    return rounded(monitor.alert_error_rate(tables.metric_samples(spark, d)), "value")
+    return rounded(monitor.alert_error_rate(tables.metric_samples(spark, d, [fixed.FAILED, fixed.CONSUMED])), "value")
 
 
 @query
 def alert_lag(spark, d):
-    return monitor.alert_lag(tables.metric_samples(spark, d))
+    return monitor.alert_lag(tables.metric_samples(spark, d, [fixed.LAG]))
 
 
 @query
 def alert_duration(spark, d):
-    return rounded(monitor.alert_duration(tables.metric_samples(spark, d)), "value")
+    return rounded(monitor.alert_duration(tables.metric_samples(spark, d, [fixed.DURATION_SUM, fixed.DURATION_COUNT])), "value")
 
 
 @query
 def alert_training_failed(spark, d):
-    return monitor.alert_training_failed(tables.metric_samples(spark, d))
+    return monitor.alert_training_failed(tables.metric_samples(spark, d, [fixed.RUNS_FAILED]))
 
 
 @query
 def alert_stale(spark, d):
-    return rounded(monitor.alert_stale(tables.metric_samples(spark, d)), "value")
+    return rounded(monitor.alert_stale(tables.metric_samples(spark, d, [fixed.LAST_SUCCESS])), "value")
 
 
 @query
 def alert_write_failures(spark, d):
-    return rounded(monitor.alert_write_failures(tables.metric_samples(spark, d)), "value")
+    return rounded(monitor.alert_write_failures(tables.metric_samples(spark, d, [fixed.WRITES_FAILED])), "value")
 
 
 @query
@@ -812,7 +811,7 @@ def alert_firing(spark, d):
 
 @query
 def latest_gauges(spark, d):
-    return monitor.latest_values(tables.metric_samples(spark, d), [fixed.MAE, fixed.RMSE, fixed.R2, fixed.SAMPLES])
+    return monitor.latest_values(tables.metric_samples(spark, d, [fixed.MAE, fixed.RMSE, fixed.R2, fixed.SAMPLES]), [fixed.MAE, fixed.RMSE, fixed.R2, fixed.SAMPLES])
 
 
 @query

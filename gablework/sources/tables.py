@@ -194,8 +194,9 @@ METRIC_START_MICROS = 1704067200000000
 METRIC_TIME_PACKING = 100
 
 
-def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Samples (ts, instance, name, value) out of events, ts in seconds since the epoch."""
+def metric_samples(spark: SparkSession, sf_dir: str, names: list[str] | None = None) -> DataFrame:
+    """Samples (ts, instance, name, value) of the named metrics out of events, ts in seconds since the epoch."""
+    chosen = {name: METRIC_VALUES[name] for name in names or METRIC_VALUES}
     scrapes = read(spark, sf_dir, "events").selectExpr(
         f"({METRIC_START_MICROS} + floor(timestampdiff(MICROSECOND, timestamp_ntz'2024-01-01 00:00:00', ts)"
         f" / {METRIC_TIME_PACKING})) / 1e6 as ts",
@@ -203,8 +204,8 @@ def metric_samples(spark: SparkSession, sf_dir: str) -> DataFrame:
         "event_id",
         "value",
     )
-    pairs = ", ".join(f"'{name}', cast({text} as double)" for name, text in METRIC_VALUES.items())
-    return scrapes.selectExpr("ts", "instance", f"stack({len(METRIC_VALUES)}, {pairs}) as (name, value)")
+    pairs = ", ".join(f"'{name}', cast({text} as double)" for name, text in chosen.items())
+    return scrapes.selectExpr("ts", "instance", f"stack({len(chosen)}, {pairs}) as (name, value)")
 
 
 # Scoring requests, some of them out of range.

@@ -76,6 +76,32 @@ def test_dead_letters(spark):
     assert bytes(dead[0].raw) == b'{"url":'
 
 
+def test_routed_in_one_pass(spark):
+    values = [{"url": "u", "price_text": "2 tỷ"}, {"url": None}, '{"url":', {"url": "u", "verified": "yes", "area_text": "5"}]
+    rows = routing.routed(messages(spark, values), now()).orderBy("offset").collect()
+    assert [r.branch for r in rows] == ["feature", "invalid", "dead", "dead"]
+    assert rows[0].price_vnd == 2e9 and rows[1].validation_errors == ["missing_url"]
+    assert rows[3].url is None and rows[3].area_m2 is None and rows[3].error == "verified_not_an_integer"
+
+
+def test_failed_writes(spark):
+    checked, _ = routing.route(messages(spark, [{"url": "u"}]), now())
+    row = routing.failed_writes(checked, F.lit("disk full"), normalized=True).first()
+    assert (row.kind, row.error, row.offset) == ("normalized", "disk full", 0)
+    assert json.loads(row.normalized)["url"] == "u" and row.payload is None
+
+
+def test_branches(spark):
+    rows = [("u", 1, []), ("u", 2, ["x"]), ("v", 1, ["x"]), ("v", 2, []), ("w", 1, [])]
+    df = spark.createDataFrame(rows, "url string, offset int, validation_errors array<string>").withColumn("seen", F.col("offset"))
+    stored = upsert.latest_branches(df, ["url"], ["offset"])
+    valid = {r.url: r.seen for r in upsert.branch(stored, ["url"], "valid").collect()}
+    invalid = {r.url: r.seen for r in upsert.branch(stored, ["url"], "invalid").collect()}
+    assert valid == {"u": 1, "v": 2, "w": 1} and invalid == {"u": 2, "v": 1}
+    both = upsert.in_both(upsert.branch(stored, ["url"], "valid"), upsert.branch(stored, ["url"], "invalid"))
+    assert sorted(r.url for r in both.collect()) == ["u", "v"]
+
+
 def test_latest_and_merge(spark):
     rows = [("u", 1, "a", None), ("u", 3, None, "y"), ("u", 2, "b", "x"), (None, 1, "n", None), (None, 2, "m", None)]
     df = spark.createDataFrame(rows, "url string, offset int, p string, q string")

@@ -135,3 +135,9 @@ def test_error_families(spark):
     families = spark.createDataFrame([(1, 99, "x"), (401, 499, "y"), (1101, 1199, "z")], "first bigint, last bigint, family string")
     got = {r.code: r.family for r in monitor.families_of(codes, "code", families).collect()}
     assert got == {1: "x", 99: "x", 100: None, 450: "y", 1199: "z", 1200: None}
+
+
+def test_null_series_is_kept(spark):
+    df = spark.createDataFrame([(None, float(t), t != 150) for t in range(0, 300, 10)], "name string, ts double, c boolean")
+    got = timeline.held_since(df, ["name"], F.col("c"), chunk=100).orderBy("ts").collect()
+    assert [r.since for r in got] == [0.0 if t < 150 else None if t == 150 else 160.0 for t in range(0, 300, 10)]
