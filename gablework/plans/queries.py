@@ -215,9 +215,7 @@ def page_frontier(spark, d):
 @query
 def unseen_pages(spark, d):
     links = raw(spark, d).select(F.col("url").alias("link")).where("link is not null")
-    seen = tables.read(spark, d, "orders").where("o_orderkey % 3 = 0").selectExpr(
-        f"{tables.URL.format(u='o_orderkey')} as link"
-    )
+    seen = tables.read(spark, d, "orders").selectExpr(f"{tables.URL.format(u='o_custkey')} as link")
     return extract.unseen(links, seen)
 
 
@@ -263,7 +261,8 @@ def text_features_query(spark, d):
 
 @query
 def train_text_query(spark, d):
-    stored = listings(spark, d).withColumn("stored", F.when(F.col("l_linenumber") % 3 != 0, F.col("text_features")))
+    """Training text where only candidates have a stored text and the others fall back to their parts."""
+    stored = listings(spark, d).withColumn("stored", F.when(F.col("is_model_candidate"), F.col("text_features")))
     return stored.select("url", "l_linenumber", train_text(F.col("stored")).alias("train_text"))
 
 
@@ -377,14 +376,14 @@ def offset_checkpoint(spark, d):
 def consumer_lag(spark, d):
     messages = tables.event_messages(spark, d)
     high = messages.groupBy("topic", "partition").agg((F.max("offset") + 1).alias("high"))
-    done = routing.offset_checkpoint(messages.where("offset % 5 < 4 and partition > 0"))
+    done = routing.offset_checkpoint(routing.decode(messages).where("error is null"))
     return routing.consumer_lag(done.select("topic", "partition", "last_processed_offset"), high)
 
 
 @query
 def replay_dedup(spark, d):
     messages = tables.event_messages(spark, d)
-    replayed = messages.unionByName(messages.where("offset % 4 = 0"))
+    replayed = messages.unionByName(messages)
     return routing.replay_dedup(replayed).groupBy("topic", "partition").agg(
         F.count("*").alias("messages"), F.sum("offset").alias("offset_sum")
     )
@@ -682,9 +681,9 @@ def impute_mode(spark, d):
 
 @query
 def one_hot(spark, d):
-    """Categories of all listings, encoded with the vocabulary of the urls that end in an even digit."""
-    rows = cut_lineage(current_features(spark, d).select("url", *fixed.CATEGORICAL_FEATURES))
-    vocabulary = features.category_counts(rows.where("url rlike '[02468]$'"), fixed.CATEGORICAL_FEATURES)
+    """Categories of all stored listings, encoded with the vocabulary of the model candidates."""
+    rows = cut_lineage(current_features(spark, d).select("url", "is_model_candidate", *fixed.CATEGORICAL_FEATURES))
+    vocabulary = features.category_counts(rows.where("is_model_candidate"), fixed.CATEGORICAL_FEATURES)
     return features.one_hot_entries(rows, "url", fixed.CATEGORICAL_FEATURES, vocabulary)
 
 
