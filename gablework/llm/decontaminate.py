@@ -1,7 +1,8 @@
 """Benchmark decontamination: a broadcast set of hashed test windows, probed by every window of every document.
 
-Only DataFrame functions are used. A document's windows are hashed inside its row and exploded; the join with the
-window set and the comparison of the words themselves follow in the same stage, so no document text is shuffled.
+Only DataFrame functions are used. Inside its row, every window of a document is first tested by the hash of its
+leading words against a bitmap of those of the test windows. The windows that pass are exploded with their words and
+joined with the broadcast set on the words themselves, so a hit is exact and no document text is shuffled.
 """
 
 from __future__ import annotations
@@ -14,34 +15,64 @@ from .common import NO_WORD, WORD, stored, table, words
 WINDOW = 13
 #: A window takes some 200 bytes; a set of more than this is joined by shuffle instead of broadcast.
 MAX_BROADCAST_WINDOWS = 1_000_000
-PROBE = "array<struct<start:int,length:int,hash:bigint>>"
-
-
-def hashed_windows(terms: Column, length: int) -> Column:
-    """(start, length, hash) of every run of ``length`` words."""
-    starts = F.sequence(F.lit(0), F.size(terms) - length)
-    probes = F.transform(
-        starts,
-        lambda i: F.struct(
-            i.alias("start"),
-            F.lit(length).alias("length"),
-            F.xxhash64(F.slice(terms, i + 1, F.lit(length))).alias("hash"),
-        ),
-    )
-    return F.when(F.size(terms) >= length, probes).otherwise(F.array().cast(PROBE))
+HEAD_WORDS = 3
+PROBE = "array<struct<start:int,length:int,run:string>>"
+
+
+def head_hash(terms: Column, start: Column, head: int) -> Column:
+    """Hash of the leading words of a window; reads single elements, as slicing copies the whole array first."""
+    return F.xxhash64(*[F.get(terms, start + j) for j in range(head)])
+
+
+def bitmap(known: DataFrame, head: int, n_windows: int) -> tuple[Column, int]:
+    """Bits of the head hashes of at most ``MAX_BROADCAST_WINDOWS`` windows as a constant array, and its bit count."""
+    hashes = known.select(head_hash(F.col("words"), F.lit(0), head).alias("h")).distinct().collect()
+    size = 1 << max(12, min(24, (64 * n_windows).bit_length()))
+    cells = [0] * (size >> 6)
+    for (h,) in hashes:
+        cells[(h & (size - 1)) >> 6] |= 1 << (h & 63)
+    text = ",".join(str(c - (1 << 64) if c >> 63 else c) for c in cells)
+    return F.split(F.lit(text), ",").cast("array<bigint>"), size
+
+
+def probes(terms: Column, lengths: list[int], head: int, bits: Column | None, size: int) -> Column:
+    """(start, length, run) of every window whose head may be known."""
+    count = F.size(terms)
+    starts = F.sequence(F.lit(0), count - min(lengths))
+    if bits is not None:
+
+        def may_be_known(i: Column) -> Column:
+            h = head_hash(terms, i, head)
+            cell = F.get(bits, F.shiftright(h.bitwiseAND(F.lit(size - 1)), 6).cast("int"))
+            return F.getbit(cell, h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+        starts = F.filter(starts, may_be_known)
+
+    def windows(length: int) -> Column:
+        fitting = F.filter(starts, lambda i: i + length <= count) if len(lengths) > 1 else starts
+
+        def run(i: Column) -> Column:
+            return F.concat_ws(" ", *[F.get(terms, i + j) for j in range(length)])
+
+        return F.transform(
+            fitting, lambda i: F.struct(i.alias("start"), F.lit(length).alias("length"), run(i).alias("run"))
+        )
+
+    found = F.concat(*[windows(n) for n in lengths])
+    return F.when(count >= min(lengths), found).otherwise(F.array().cast(PROBE))
 
 
 def benchmark_windows(benchmark: DataFrame, item_col: str, text_col: str, window: int) -> DataFrame:
-    """Distinct windows (window, length, hash) with the ids of the items they come from."""
+    """Distinct windows (words, length, known: the words as text) with the ids of the items they come from."""
     items = benchmark.select(
         F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), words(F.col(text_col)).alias("terms")
     ).where(F.size("terms") > 0)
     items = items.withColumn("length", F.least(F.size("terms"), F.lit(window)))
     starts = F.sequence(F.lit(1), F.size("terms") - F.col("length") + 1)
     slices = F.transform(starts, lambda i: F.slice("terms", i, F.col("length")))
-    runs = items.select("item", "length", F.explode(slices).alias("window"))
-    found = runs.groupBy("window", "length").agg(F.sort_array(F.collect_set("item")).alias("items"))
-    return found.withColumn("hash", F.xxhash64("window"))
+    runs = items.select("item", "length", F.explode(slices).alias("words"))
+    found = runs.groupBy("words", "length").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    return found.withColumn("known", F.array_join("words", " "))
 
 
 def contamination(
@@ -63,27 +94,27 @@ def contamination(
     documents gives an empty result, an empty benchmark one without hits.
     """
     found = stored(benchmark_windows(benchmark, item_col, item_text_col, window))
-    sizes = found.groupBy("length").count().collect()  # at most ``window`` rows
-    known = F.broadcast(found) if sum(r["count"] for r in sizes) <= MAX_BROADCAST_WINDOWS else found
-    known = known.select("window", "items", F.col("hash").alias("known_hash"), F.col("length").alias("known_length"))
-
-    terms = F.col("terms")
-    first = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("length"), F.lit(None).cast("long").alias("hash")))
-    probes = F.concat(first.cast(PROBE), *[hashed_windows(terms, r["length"]) for r in sorted(sizes)])
+    sizes = {r["length"]: r["count"] for r in found.groupBy("length").count().collect()}  # at most ``window`` rows
+    known, n_windows = found.select("known", "items"), sum(sizes.values())
+    terms, lengths, bits, size = F.col("terms"), sorted(sizes), None, 0
+    head = min([HEAD_WORDS, *lengths])
+    if n_windows <= MAX_BROADCAST_WINDOWS:
+        known = F.broadcast(known)
+        bits, size = bitmap(found, head, n_windows)
+
+    first = F.array(F.struct(F.lit(-1).alias("start"), F.lit(0).alias("length"), F.lit(None).cast("string").alias("run")))
+    tried = F.concat(first.cast(PROBE), probes(terms, lengths, head, bits, size)) if lengths else first.cast(PROBE)
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"),
         words(F.col(text_col)).alias("terms"),
         F.monotonically_increasing_id().alias("row"),
     )
-    tried = rows.select("row", "doc_id", "terms", F.inline(probes))
-    matched = tried.join(
-        known, (F.col("hash") == F.col("known_hash")) & (F.col("length") == F.col("known_length")), "left"
-    )
-    same = F.slice("terms", F.col("start") + 1, F.col("length")) == F.col("window")
-    hits = matched.where((F.col("start") < 0) | same).select(
+    windows = rows.select("row", "doc_id", F.size("terms").alias("n_words"), F.inline(tried))
+    matched = windows.join(known, F.col("run") == F.col("known"), "left")
+    hits = matched.where((F.col("start") < 0) | F.col("known").isNotNull()).select(
         "row",
         "doc_id",
-        F.when(F.col("start") < 0, F.size("terms")).alias("n_words"),
+        "n_words",
         F.when(F.col("start") >= 0, F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("run"),
         "items",
     )
