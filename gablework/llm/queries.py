@@ -5,12 +5,14 @@ from __future__ import annotations
 from .decontaminate import DECONTAMINATE_SQL, op7_decontaminate
 from .exact_dedup import EXACT_SQL, op10_exact_dedup
 from .jaccard_join import JACCARD_SQL, op9_jaccard_join
+from .language import op3_language
 from .line_dedup import LINES_SQL, op6_line_dedup
 from .packing import op5_best_fit_packing
+from .pii import op4_pii
 
 QUERIES = {
     q.__name__: q
-    for q in (op5_best_fit_packing, op6_line_dedup, op7_decontaminate, op9_jaccard_join, op10_exact_dedup)
+    for q in (op3_language, op4_pii, op5_best_fit_packing, op6_line_dedup, op7_decontaminate, op9_jaccard_join, op10_exact_dedup)
 }
 ORACLES = {
     "op6_line_dedup": LINES_SQL,
