@@ -7,22 +7,48 @@ stage's docs. All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gablework.llm.common import stored, table
 from gablework.llm.decontaminate import contamination, drop_contaminated
+from gablework.llm.jaccard_join import jaccard_join, keep_one
+from gablework.llm.language import identify, trained_on
+from gablework.llm.line_dedup import line_dedup
 from gablework.llm.packing import best_fit_packing
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a known language; those without letters or far from every language go."""
+    judged = identify(docs, trained_on(table(spark, sf_dir, "documents")))
+    return judged.where(~F.col("rejected")).select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that stand elsewhere; those of which no line is left go."""
+    cut = line_dedup(docs)
+    return cut.where((F.col("n_removed") == 0) | (F.length("text") > 0)).select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the least id of each class."""
+    return keep_one(docs, jaccard_join(docs))
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of which less than a twentieth of the words stand in benchmark windows."""
     report = contamination(docs, table(spark, sf_dir, "benchmark"))
     return drop_contaminated(docs, report)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents, packed into sequences."""
     return best_fit_packing(docs)
 
 
 STAGES = [
+    ("language_id", language_id),
+    ("line_dedup", lines),
+    ("jaccard_join", near_duplicates),
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", packing),
 ]

@@ -4,15 +4,29 @@ from __future__ import annotations
 
 from .decontaminate import DECONTAMINATE_SQL, op7_decontaminate
 from .exact_dedup import EXACT_SQL, op10_exact_dedup
+from .html_text import op1_main_text
 from .jaccard_join import JACCARD_SQL, op9_jaccard_join
 from .language import op3_language
+from .licenses import op8_license_scan
 from .line_dedup import LINES_SQL, op6_line_dedup
 from .packing import op5_best_fit_packing
 from .pii import op4_pii
+from .urls import op2_url_filter
 
 QUERIES = {
     q.__name__: q
-    for q in (op3_language, op4_pii, op5_best_fit_packing, op6_line_dedup, op7_decontaminate, op9_jaccard_join, op10_exact_dedup)
+    for q in (
+        op1_main_text,
+        op2_url_filter,
+        op3_language,
+        op4_pii,
+        op5_best_fit_packing,
+        op6_line_dedup,
+        op7_decontaminate,
+        op8_license_scan,
+        op9_jaccard_join,
+        op10_exact_dedup,
+    )
 }
 ORACLES = {
     "op6_line_dedup": LINES_SQL,
