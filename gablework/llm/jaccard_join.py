@@ -24,6 +24,8 @@ from .terms import WordHashes, shingles, words_of
 WIDTH, THRESHOLD = 5, 0.8
 TREES, MAX_DEPTH, RECALL = 32, 12, 0.9999
 BLOCK = 256
+#: Sets held by at least this fraction (1 / HOT_SETS) of the rows are joined by broadcast.
+HOT_SETS = 1000
 #: Shingles hashed at once, pairs and columns compared at once: bounds of the arrays in a worker.
 HASHED, PAIRS, COLUMNS = 1024, 4096, 16384
 
@@ -304,13 +306,19 @@ def jaccard_join(
     )
     classes = named.groupBy("label").agg(F.min("min_id").alias("class_id"), F.sum("weight").alias("class_size"))
     described = named.join(classes, "label").join(counts, "digest", "left")
-    described = described.select(
-        "digest", "class_id", "class_size", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
-    )
+    described = stored(described.select(
+        "digest", "weight", "class_id", "class_size", (F.col("weight") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")
+    ))
     alone = signed.where("n = 0").select(
         "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size")
     )
-    grouped = filled.select("doc_id", "digest").join(described, "digest")
+    # Sets with many copies are described by broadcast: at most HOT_SETS have that share of the rows.
+    is_hot = F.col("weight") * HOT_SETS >= max(signed.count(), 1)
+    hot, light = described.where(is_hot), described.where(~is_hot)
+    rows = filled.select("doc_id", "digest")
+    some = F.broadcast(hot.select("digest"))
+    copies = rows.join(F.broadcast(hot), "digest")
+    grouped = copies.unionByName(rows.join(some, "digest", "left_anti").join(light, "digest"))
     return grouped.select("doc_id", "class_id", "n_links", "class_size").unionByName(alone)
 
 
