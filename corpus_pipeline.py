@@ -19,7 +19,7 @@ from gablework.llm.packing import best_fit_packing
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a known language; those without letters or far from every language go."""
-    judged = identify(docs, trained_on(table(spark, sf_dir, "documents")))
+    judged = identify(docs, trained_on(docs))
     return judged.where(~F.col("rejected")).select(*docs.columns)
 
 
