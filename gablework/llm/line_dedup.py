@@ -21,15 +21,13 @@ from .common import ascii_lower, stored, table
 
 CHARS_PER_EDIT, MAX_EDITS = 25, 2
 BLANKS = " \t\r\f\x0b"
-#: Line hashes broadcast to fetch the texts of candidates, 8 bytes each; beyond this they are joined by shuffle.
-MAX_BROADCAST_LINES = 1_000_000
+#: Places of candidate lines broadcast to fetch their texts, 60 bytes each; beyond this they are joined by shuffle.
+MAX_BROADCAST_LINES = 500_000
+#: Lines that are at least this fraction (1 / HOT_LINES) of all lines are handled by broadcast.
+HOT_LINES = 1000
 LAST = 2**63 - 1
 
 
-def normal(line: Column) -> Column:
-    return F.btrim(ascii_lower(line), F.lit(BLANKS))
-
-
 def allowed(length: Column) -> Column:
     return F.least(F.lit(MAX_EDITS), F.floor(length / CHARS_PER_EDIT).cast("int"))
 
@@ -68,13 +66,26 @@ def keys(line: Column, length: Column) -> Column:
     return F.concat(*parts)
 
 
+def bound(value: Column, use) -> Column:
+    """``use`` of a value that is computed once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def sketch(line: Column) -> Column:
     """64 parities of hashed character pairs; one edit flips at most four of them."""
-    pairs = F.transform(
-        F.sequence(F.lit(1), F.char_length(line) - 1),
-        lambda i: F.pmod(F.hash(F.substring(line, i, F.lit(2))), F.lit(64)).cast("int"),
-    )
-    return F.aggregate(pairs, F.lit(0).cast("long"), lambda bits, p: bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), p)))
+
+    def parities(chars: Column) -> Column:
+        return F.aggregate(
+            F.sequence(F.lit(0), F.size(chars) - 2),
+            F.lit(0).cast("long"),
+            lambda bits, i: bits.bitwiseXOR(
+                F.call_function(
+                    "shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(F.get(chars, i), F.get(chars, i + 1)), F.lit(64))
+                )
+            ),
+        )
+
+    return bound(F.split(line, ""), parities)
 
 
 def within_edits(longer: Column, shorter: Column, edits: Column) -> Column:
@@ -126,10 +137,6 @@ def within_edits(longer: Column, shorter: Column, edits: Column) -> Column:
             (s.score + F.when(s.i < rows - band, along).otherwise(below)).alias("score"),
         )
 
-    def bound(value: Column, use) -> Column:
-        """``use`` of a value that is computed once."""
-        return F.get(F.transform(F.array(value), use), F.lit(0))
-
     first = full ^ ((1 << (width - band - 1)) - 1)
     start = F.struct(long(first).alias("vp"), long(0).alias("vn"), F.lit(band).alias("score"))
 
@@ -147,33 +154,51 @@ def within_edits(longer: Column, shorter: Column, edits: Column) -> Column:
     )
 
 
-def occurrences(docs: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, pos, line) of every line that is not blank."""
-    lines = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    return lines.withColumn("line", normal(F.col("line"))).where("line <> ''")
+def line_table(docs: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, pos, line) of every line that is not blank, in normal form."""
+    pieces = F.posexplode(F.split(ascii_lower(F.col("text")), "\n")).alias("pos", "line")
+    rows = docs.select("doc_id", "text_hash", pieces)
+    return rows.withColumn("line", F.btrim("line", F.lit(BLANKS))).where("line <> ''")
 
 
 def digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def near_lines(docs: DataFrame, lines: DataFrame) -> DataFrame:
-    """Digests of the lines that are near a different line that precedes them. lines: digest, h, first_doc."""
-    long_lines = occurrences(docs).select("line").where(F.char_length("line") >= CHARS_PER_EDIT)
-    entries = long_lines.distinct().select(
-        F.xxhash64("line").alias("h"), F.inline(keys(F.col("line"), F.char_length("line")))
+def near_lines(docs: DataFrame, placed: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame:
+    """Digests of the lines that are near a different line that precedes them.
+
+    placed: every occurrence; lines: the distinct lines; hot: those so frequent that they are indexed apart.
+    """
+    every = line_table(docs).select("line", F.char_length("line").alias("n")).where(F.col("n") >= CHARS_PER_EDIT)
+    light = every.join(F.broadcast(hot.select("digest")), digest(F.col("line")) == F.col("digest"), "left_anti")
+    owners = hot.select(F.col("first_doc").alias("rank")).distinct()
+    owned = docs.withColumn("rank", F.coalesce("doc_id", F.lit(LAST))).join(F.broadcast(owners), "rank", "left_semi")
+    heavy = line_table(owned).select("line", F.char_length("line").alias("n")).where(F.col("n") >= CHARS_PER_EDIT)
+    heavy = heavy.join(F.broadcast(hot.select("digest")), digest(F.col("line")) == F.col("digest"), "left_semi")
+    entries = light.unionByName(heavy.distinct()).select(
+        F.xxhash64("line").alias("h"), F.inline(keys(F.col("line"), F.col("n")))
     )
     by_key = Window.partitionBy("key")
-    shared = entries.repartition("key").select(
-        "key", "h", "own", F.count(F.lit(1)).over(by_key).alias("n"), F.max("own").over(by_key).alias("indexed")
+    shared = entries.repartition("key").distinct().select(
+        "key", "h", "own", F.min("h").over(by_key).alias("least"), F.max("h").over(by_key).alias("most"),
+        F.max("own").over(by_key).alias("indexed"),
     )
-    shared = stored(shared.where("n > 1 and indexed").select("key", "h", "own"))
-
-    wanted = stored(shared.select("h").distinct())
-    some = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_LINES else wanted
-    texts = long_lines.select("line", F.xxhash64("line").alias("h")).join(some, "h", "left_semi").distinct()
-    texts = texts.select("h", digest(F.col("line")).alias("digest"), "line", sketch(F.col("line")).alias("bits"))
-    texts = stored(texts.join(lines.select("digest", "first_doc"), "digest"))
+    shared = stored(shared.where("least < most and indexed").select("key", "h", "own"))
+
+    wanted = shared.select("h").distinct()
+    first = placed.join(wanted, "h").join(lines.select("digest", "first_doc"), "digest").where("rank = first_doc")
+    first = stored(first.groupBy("digest", "h", "first_doc").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("at")))
+    at = first.select("digest", "h", "first_doc", *[F.col(f"at.{c}").alias(f"at_{c}") for c in ("doc_id", "text_hash", "pos")])
+    at = F.broadcast(at) if first.count() <= MAX_BROADCAST_LINES else at
+    raw = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
+    here = (
+        F.col("doc_id").eqNullSafe(F.col("at_doc_id"))
+        & (F.col("text_hash") == F.col("at_text_hash"))
+        & (F.col("pos") == F.col("at_pos"))
+    )
+    texts = raw.join(at, here).select("digest", "h", "first_doc", F.btrim(ascii_lower(F.col("line")), F.lit(BLANKS)).alias("line"))
+    texts = stored(texts.dropDuplicates(["digest"]).withColumn("bits", sketch(F.col("line"))))
     entries = stored(shared.join(texts.select("h", "digest", "first_doc", "bits"), "h").drop("h").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -219,20 +244,31 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     plain = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     plain = plain.withColumn("text_hash", F.xxhash64("text"))
-    found = occurrences(plain).withColumn("rank", F.coalesce("doc_id", F.lit(LAST)))
-    lines = found.groupBy(digest(F.col("line")).alias("digest")).agg(
-        F.min("rank").alias("first_doc"), F.max("rank").alias("last_doc"), F.count(F.lit(1)).alias("n")
+    found = line_table(plain).select(
+        "doc_id",
+        "text_hash",
+        "pos",
+        F.coalesce("doc_id", F.lit(LAST)).alias("rank"),
+        digest(F.col("line")).alias("digest"),
+        F.xxhash64("line").alias("h"),
     )
+    placed = stored(found)
+    lines = placed.groupBy("digest").agg(F.min("rank").alias("first_doc"), F.count(F.lit(1)).alias("n"))
     lines = stored(lines)
-    near = near_lines(plain, lines).withColumn("near", F.lit(True))
-    several = lines.where("n > 1").join(near, "digest", "full").select(
-        "digest", "first_doc", F.coalesce("near", F.lit(False)).alias("near")
+    hot = stored(lines.where(F.col("n") * HOT_LINES >= max(placed.count(), HOT_LINES)))
+    near = near_lines(plain, placed, lines, hot).withColumn("near", F.lit(True))
+    several = stored(
+        lines.where("n > 1").join(near, "digest", "left").select("digest", "first_doc", "near")
+        .unionByName(lines.where("n = 1").join(near, "digest").select("digest", "first_doc", "near"))
     )
-    placed = found.select("doc_id", "text_hash", "rank", "pos", digest(F.col("line")).alias("digest"))
-    placed = placed.join(several, "digest")
-    own = Window.partitionBy("digest", "doc_id", "text_hash")
-    gone = placed.withColumn("kept", F.min("pos").over(own)).where(
-        F.col("near") | (F.col("rank") > F.col("first_doc")) | (F.col("pos") > F.col("kept"))
+    own = Window.partitionBy("doc_id", "text_hash", "digest")
+    places_of = placed.withColumn("kept", F.min("pos").over(own)).drop("h")
+    often = F.broadcast(several.join(F.broadcast(hot.select("digest")), "digest", "left_semi"))
+    seldom = several.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    not_hot = places_of.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
+    judged = places_of.join(often, "digest").unionByName(not_hot.join(seldom, "digest"))
+    gone = judged.where(
+        F.coalesce("near", F.lit(False)) | (F.col("rank") > F.col("first_doc")) | (F.col("pos") > F.col("kept"))
     )
     gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
         F.collect_set("pos").alias("__gone")

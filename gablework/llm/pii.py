@@ -9,8 +9,10 @@ span of a pattern.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +24,8 @@ from .pii_labels import SENTENCES
 
 KINDS = ["email", "ip", "card", "phone"]
 LABELS = ["none", *KINDS]
-#: Chains decoded at once.
-CHAINS = 2000
+#: Chains decoded at once, as words times chains after padding.
+PADDED = 200_000
 #: Score by which the best labels of a chain must beat "none" throughout.
 MARGIN = 2.0
 
@@ -114,6 +116,8 @@ def features(words: list[Word], i: int) -> list[str]:
         own.append("at " + ("within" if 0 < core.find("@") < len(core) - 1 else "edge"))
     if "=" in core or "/" in core or "%" in core or _HEX.search(core):
         own.append("code")
+    if "@" not in core and any(c.isalpha() for c in core):
+        own.append("letters")
     for name, word in (("before", before), ("after", after)):
         own.append(name + " " + (shape(word.strip(_EDGE)) if _SIGN.search(word) else word.strip(_EDGE).lower()[:12]))
     return own
@@ -264,8 +268,14 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Crf) -> list[li
     todo = [(i, chain) for i, text in enumerate(texts) if _SIGN.search(text) for chain in chains(text)]
     todo.sort(key=lambda x: len(x[1]))
     out: list[list[Span]] = [[] for _ in texts]
-    for at in range(0, len(todo), CHAINS):
-        part = todo[at : at + CHAINS]
+    starts = [[s for s, _, _ in spans] for spans in base]
+    reach = [list(accumulate((e for _, _, e in spans), max)) for spans in base]
+    at = 0
+    while at < len(todo):  # by length: chains of a batch need little padding
+        to = at + 1
+        while to < len(todo) and (to + 1 - at) * len(todo[to][1]) <= PADDED:
+            to += 1
+        part, at = todo[at:to], to
         for (i, chain), labels in zip(part, model.decode([[f for _, f in chain] for _, chain in part])):
             t = 0
             while t < len(labels):
@@ -281,7 +291,8 @@ def added_spans(texts: list[str], base: list[list[Span]], model: Crf) -> list[li
                     start += 1
                 while end > start and text[end - 1] in ".,;:!?\"'<>[]{}":
                     end -= 1
-                if start < end and not any(s < end and start < e for s, _, e in base[i]):
+                before = bisect_left(starts[i], end)
+                if start < end and not (before and reach[i][before - 1] > start):
                     out[i].append((start, labels[t] - 1, end))
                 t = last + 1
     return out

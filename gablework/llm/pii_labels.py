@@ -81,5 +81,11 @@ Pair 8845168114407321 [card|4000056655665556] was mixed.
 Entry [card|4242424242424242] 9980942693487181 was mixed too.
 Tracking 0007687199101953 is late.
 Serie 20862184495729 fehlt.
+The items word12x3 and word881x10 are names.
+Labels a1 b22 c333 d4444 e55555 f6 are given.
+See fig2a fig2b fig3 table7 in part9.
+Rows r1c1 r1c2 r2c1 r2c2 hold sums.
+Counts were 12 40 7 1003 88 and 5.
+Years 1990 1991 1992 1993 1994 follow.
 Lot 00412-B7 and part 77-1203 fit.
 """.strip().split("\n")
