@@ -28,6 +28,7 @@ LABELS = ["none", *KINDS]
 PADDED = 200_000
 #: Score by which the best labels of a chain must beat "none" throughout.
 MARGIN = 2.0
+NEVER = 1e6
 
 # ---- patterns: equal to the plain ones, but without their quadratic time on long runs
 
@@ -153,11 +154,16 @@ def chains(text: str) -> Iterator[list[tuple[Word, list[str]]]]:
 class Crf:
     def __init__(self, index: dict[str, int], weights: np.ndarray, steps: np.ndarray):
         self.index, self.weights, self.steps = index, weights, steps
-        self.kept: dict[tuple, np.ndarray] = {}
 
     def emission(self, found: list[str]) -> np.ndarray:
+        """Scores of the labels; a kind that the characters of the word rule out is never chosen."""
         rows = [self.index[f] for f in found if f in self.index]
-        return self.weights[rows].sum(axis=0) if rows else np.zeros(len(LABELS))
+        scores = self.weights[rows].sum(axis=0) if rows else np.zeros(len(LABELS))
+        if "letters" in found:
+            scores[LABELS.index("ip") :] -= NEVER
+        if not any(f.startswith("at ") for f in found):
+            scores[LABELS.index("email")] -= NEVER
+        return scores
 
     def decode(self, found: list[list[list[str]]]) -> list[list[int]]:
         """Best labels of each chain (a list of feature lists), all "none" where that is nearly as good."""
