@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_WORD, WORD, stored, table, words
+from .common import NO_WORD, WORD, stored, table, unused, words
 
 WINDOW = 13
 #: A window takes some 200 bytes; a set of more than this is joined by shuffle instead of broadcast.
@@ -140,20 +140,22 @@ def contamination(
 
 def drop_contaminated(docs: DataFrame, report: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents whose id is not that of a contaminated one, all columns unchanged."""
-    bad = report.where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(F.col("__bad")), "left_anti")
+    name = unused(docs, "bad_id")
+    bad = report.where("contaminated").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad[name]), "left_anti")
 
 
 def drop_spans(docs: DataFrame, report: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their hit words (each goes with the separators after it). Ids must be unique."""
-    runs = report.where("n_hit > 0").select(F.col("doc_id").alias("__id"), F.col("runs").alias("__runs"))
-    joined = docs.join(runs, docs[id_col].cast("long").eqNullSafe(F.col("__id")), "left")
+    own_id, own_runs = unused(docs, "own_id"), unused(docs, "own_runs")
+    runs = report.where("n_hit > 0").select(F.col("doc_id").alias(own_id), F.col("runs").alias(own_runs))
+    joined = docs.join(runs, docs[id_col].cast("long").eqNullSafe(runs[own_id]), "left")
     text = F.col(text_col)
     spare = NO_WORD.removesuffix("+")
     lead = F.regexp_extract(text, f"^({spare}*)", 1)
     pieces = F.regexp_extract_all(text, F.lit(f"({WORD}{spare}*)"), 1)
-    left = F.filter(pieces, lambda _, i: ~F.exists("__runs", lambda r: (r.start <= i) & (i < r.end)))
-    cut = F.when(F.col("__runs").isNull(), text).otherwise(F.concat(lead, F.array_join(left, "")))
+    left = F.filter(pieces, lambda _, i: ~F.exists(own_runs, lambda r: (r.start <= i) & (i < r.end)))
+    cut = F.when(F.col(own_runs).isNull(), text).otherwise(F.concat(lead, F.array_join(left, "")))
     return joined.withColumn(text_col, cut).select(*docs.columns)
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table
+from .common import stored, table, unused
 from .terms import WordHashes, shingles, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -324,8 +324,9 @@ def jaccard_join(
 
 def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """The documents that name their class, and those without an id; all columns unchanged."""
-    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col].cast("long") == F.col("__gone"), "left_anti")
+    name = unused(docs, "gone_id")
+    gone = classes.where("doc_id <> class_id").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

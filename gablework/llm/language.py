@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, unused
 
 PLACES, CENTROIDS, ROUNDS = 2048, 4, 12
 #: Bound on the labelled rows that the classifier is fitted on: those with the least hash of their id.
@@ -146,7 +146,7 @@ def identify(docs: DataFrame, model: Languages, text_col: str = "text") -> DataF
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
-                found = [counts(t) for t in part.column("__text").to_pylist()]
+                found = [counts(t) for t in part.column(part.num_columns - 1).to_pylist()]
                 known = [i for i, f in enumerate(found) if f is not None]
                 names, scores, far = [UNKNOWN] * len(found), [0.0] * len(found), [True] * len(found)
                 if known:
@@ -160,7 +160,7 @@ def identify(docs: DataFrame, model: Languages, text_col: str = "text") -> DataF
     columns = [c for c in docs.columns if c not in ("lang_pred", "score", "rejected")]
     own = docs.select(*columns)
     schema = own.schema.add("lang_pred", "string").add("score", "double").add("rejected", "boolean")
-    return docs.select(*columns, F.col(text_col).alias("__text")).mapInArrow(judge, schema)
+    return docs.select(*columns, F.col(text_col).alias(unused(docs, "whole_text"))).mapInArrow(judge, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import ascii_lower, stored, table
+from .common import ascii_lower, stored, table, unused
 
 CHARS_PER_EDIT, MAX_EDITS = 25, 2
 BLANKS = " \t\r\f\x0b"
@@ -270,23 +270,24 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     gone = judged.where(
         F.coalesce("near", F.lit(False)) | (F.col("rank") > F.col("first_doc")) | (F.col("pos") > F.col("kept"))
     )
-    gone = gone.groupBy(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash")).agg(
-        F.collect_set("pos").alias("__gone")
+    own_id, own_hash, places_gone = (unused(docs, n) for n in ("own_id", "own_hash", "places_gone"))
+    gone = gone.groupBy(F.col("doc_id").alias(own_id), F.col("text_hash").alias(own_hash)).agg(
+        F.collect_set("pos").alias(places_gone)
     )
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__hash"))
+    same = docs[id_col].cast("long").eqNullSafe(gone[own_id]) & (F.xxhash64(docs[text_col]) == gone[own_hash])
     all_lines = F.split(F.col(text_col), "\n")
     count = F.size(all_lines)
-    left = F.array_except(F.sequence(F.lit(0), count - 1), F.col("__gone"))
+    left = F.array_except(F.sequence(F.lit(0), count - 1), F.col(places_gone))
     cut = F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n")
     joined = docs.join(gone, same, "left")
     return joined.select(
         *[
-            F.when(F.col("__gone").isNull(), F.col(c)).otherwise(cut).alias(c) if c == text_col else F.col(c)
+            F.when(F.col(places_gone).isNull(), F.col(c)).otherwise(cut).alias(c) if c == text_col else F.col(c)
             for c in docs.columns
             if c not in ("n_lines", "n_removed")
         ],
         F.when(F.col(text_col).isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
-        F.coalesce(F.size("__gone"), F.lit(0)).cast("long").alias("n_removed"),
+        F.coalesce(F.size(places_gone), F.lit(0)).cast("long").alias("n_removed"),
     )
 
 

@@ -17,7 +17,7 @@ TEXTS = [
     (8, "!!! ... ---"),
     (9, "word"),
 ]
-CLASHING = ["digest", "row", "terms", "n", "label", "key", "weight", "length", "start", "items", "__id", "line", "pos", "h"]
+CLASHING = ["digest", "row", "terms", "n", "label", "key", "weight", "length", "start", "items", "own_id", "gone_id", "whole_text", "line", "pos", "h"]
 
 
 def documents(spark, rows=TEXTS):
