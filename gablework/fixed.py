@@ -18,26 +18,29 @@ PROPERTY_TYPE_SLUGS = [
 ]
 PROPERTY_TYPES = ["house", "apartment", "land", "villa_townhouse", "shophouse", "warehouse"]
 
-# Detail page: labels of the short-info and specification pairs.
-SHORT_LISTING_ID = "Mã tin"
-SHORT_LISTING_TYPE = "Loại tin"
-SHORT_POSTED_DATE = "Ngày đăng"
-PRICE_LABEL = "Khoảng giá"
-AREA_LABEL = "Diện tích"
-SHORT_BEDROOMS = "Phòng ngủ"
-SPEC_BEDROOMS = "Số phòng ngủ"
-SPEC_BATHROOMS = "Số phòng tắm, vệ sinh"
-SPEC_FLOORS = "Số tầng"
-SPEC_FRONT_WIDTH = "Mặt tiền"
-SPEC_ROAD_WIDTH = "Đường vào"
-SPEC_LEGAL = "Pháp lý"
-SPEC_DIRECTION = "Hướng nhà"
-SPEC_FURNITURE = "Nội thất"
+# Detail page, fixed values: the blocks and labels a field is read from, the first filled one first.
+DETAIL_LABELS = {
+    "listing_id": [("short", "Mã tin")],
+    "listing_type": [("short", "Loại tin")],
+    "posted_date_text": [("short", "Ngày đăng")],
+    "price_text": [("short", "Khoảng giá"), ("spec", "Khoảng giá")],
+    "area_text": [("short", "Diện tích"), ("spec", "Diện tích")],
+    "bedroom_text": [("short", "Phòng ngủ"), ("spec", "Số phòng ngủ")],
+    "bathroom_text": [("spec", "Số phòng tắm, vệ sinh")],
+    "floor_text": [("spec", "Số tầng")],
+    "front_width_text": [("spec", "Mặt tiền")],
+    "road_width_text": [("spec", "Đường vào")],
+    "legal_text": [("spec", "Pháp lý")],
+    "direction_text": [("spec", "Hướng nhà")],
+    "furniture_text": [("spec", "Nội thất")],
+}
 DESCRIPTION_PARTS = 18
 
-# Price units in VND.
+# Price units in VND, and how a lower-case text names them.
 BILLION = 1e9
 MILLION = 1e6
+BILLION_NAMES = "t(?:ỷ|y)"
+MILLION_NAMES = "tri(?:ệu|eu)"
 
 # Validation limits.
 MAX_PRICE_VND = 500e9

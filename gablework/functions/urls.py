@@ -9,11 +9,19 @@ from .. import fixed
 from .text import let
 
 
+#: Inner ../ steps that are resolved in one link.
+MAX_PARENT_STEPS = 4
+
+
 def resolve_url(href: Column, base: str = fixed.BASE_URL) -> Column:
     """Absolute form of a link found on a page of the site root ``base``."""
     host = base.rstrip("/")
     scheme = host.split(":", 1)[0]
-    dotless = F.regexp_replace(href, r"^(?:\./)+", "")
+    # A step up to the parent takes the folder before it away; above the root there is nothing to leave.
+    dotless = F.regexp_replace(href, r"(?<=^|/)\./", "")
+    for _ in range(MAX_PARENT_STEPS):
+        dotless = F.regexp_replace(dotless, r"^((?:[^/?#]+/)*?)(?!\.\./)[^/?#]+/\.\./", "$1")
+    dotless = F.regexp_replace(dotless, r"^(?:\.\./)+", "")
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(F.lit(scheme + ":"), href))

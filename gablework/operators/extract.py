@@ -10,7 +10,7 @@ from ..functions.html import element_links, element_texts, page_tokens, pair_map
 from ..functions.text import blank_to_null, clean_text
 from ..functions.urls import list_page_url, location_parts, property_type_from_url
 
-# Selectors of the listing site's pages.
+# Selectors of the listing site's pages.
 LIST_SELECTORS = {
     "container": "div.re__srp-list",
     "cards": ["div.re__card-full", "div.re__card-full-label-verified"],
@@ -56,32 +56,18 @@ def detail_records(
         }
     )
 
-    def short(label: str) -> Column:
-        return F.try_element_at(F.col("short"), F.lit(label))
-
-    def spec(label: str) -> Column:
-        return F.try_element_at(F.col("spec"), F.lit(label))
-
-    def either(first: str, second: str) -> Column:
-        return F.coalesce(blank_to_null(short(first)), spec(second))
+    def labelled(field: str) -> Column:
+        *firsts, (block, label) = fixed.DETAIL_LABELS[field]
+        value = F.try_element_at(F.col(block), F.lit(label))
+        for block, label in reversed(firsts):
+            value = F.coalesce(blank_to_null(F.try_element_at(F.col(block), F.lit(label))), value)
+        return value
 
     crumbs, body = F.col("breadcrumb"), F.col("body")
     fields = {
-        "listing_id": short(fixed.SHORT_LISTING_ID),
+        **{field: labelled(field) for field in fixed.DETAIL_LABELS},
         "title": clean_text(F.try_element_at(F.col("title"), F.lit(1))),
-        "price_text": either(fixed.PRICE_LABEL, fixed.PRICE_LABEL),
-        "area_text": either(fixed.AREA_LABEL, fixed.AREA_LABEL),
-        "bedroom_text": either(fixed.SHORT_BEDROOMS, fixed.SPEC_BEDROOMS),
-        "bathroom_text": spec(fixed.SPEC_BATHROOMS),
-        "floor_text": spec(fixed.SPEC_FLOORS),
-        "front_width_text": spec(fixed.SPEC_FRONT_WIDTH),
-        "road_width_text": spec(fixed.SPEC_ROAD_WIDTH),
-        "legal_text": spec(fixed.SPEC_LEGAL),
-        "direction_text": spec(fixed.SPEC_DIRECTION),
         "property_type": property_type_from_url(F.col("url")),
-        "listing_type": short(fixed.SHORT_LISTING_TYPE),
-        "posted_date_text": short(fixed.SHORT_POSTED_DATE),
-        "furniture_text": spec(fixed.SPEC_FURNITURE),
         "project_hint": F.when(F.size(crumbs) >= 2, F.try_element_at(crumbs, F.lit(-2))),
         "verified": F.lit(int(verified)),
         "source": F.lit(fixed.RECORD_SOURCE),

@@ -115,8 +115,7 @@ def threshold_alerts(latest: DataFrame, rules: DataFrame) -> DataFrame:
 
 def families_of(codes: DataFrame, code: str, families: DataFrame) -> DataFrame:
     """Error family of every code. Ranges are given in hundreds, so the range join becomes an equi-join on them."""
-    hundred = F.floor(F.col(code) / 100)
-    ranged = families.withColumn("_hundred", F.explode(F.sequence(F.floor(F.col("first") / 100), F.floor(F.col("last") / 100))))
-    joined = codes.withColumn("_hundred", hundred).join(ranged, "_hundred", "left")
-    inside = F.col(code).between(F.col("first"), F.col("last"))
-    return joined.withColumn("family", F.when(inside, F.col("family"))).drop("_hundred", "first", "last")
+    hundreds = F.explode(F.sequence(F.floor(F.col("first") / 100), F.floor(F.col("last") / 100)))
+    ranged = families.select("family", "first", "last", hundreds.alias("_hundred"))
+    inside = (F.floor(F.col(code) / 100) == F.col("_hundred")) & F.col(code).between(F.col("first"), F.col("last"))
+    return codes.join(ranged, inside, "left").drop("_hundred", "first", "last")

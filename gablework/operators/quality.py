@@ -196,8 +196,9 @@ def freshness_tiers(df: DataFrame, now: str, column: str = "updated_at") -> Data
 
 
 def newer_than(df: DataFrame, now: str, days: float, column: str) -> DataFrame:
-    """Rows whose timestamp text is at most ``days`` old."""
-    return df.where(epoch_seconds(F.col(column)) >= epoch_seconds(F.lit(now)) - days * 86400)
+    """Rows whose timestamp text is at most ``days`` before ``now`` and not after it."""
+    end = epoch_seconds(F.lit(now))
+    return df.where(epoch_seconds(F.col(column)).between(end - days * 86400, end))
 
 
 def raw_schema_checks(df: DataFrame) -> DataFrame:

@@ -102,17 +102,17 @@ def joined(column: str) -> F.Column:
 
 @query
 def scan_priced(spark, d):
-    return listings(spark, d).where(F.col("price_vnd") > 0).select("url", "price_vnd", "area_m2", "updated_at")
+    return current_features(spark, d).where(F.col("price_vnd") > 0).select("url", "price_vnd", "area_m2", "updated_at")
 
 
 @query
 def scan_trainable(spark, d):
-    return trainable(listings(spark, d)).select("url", "price_vnd", "area_m2", "property_type")
+    return trainable(current_features(spark, d)).select("url", "price_vnd", "area_m2", "property_type")
 
 
 @query
 def export_candidates(spark, d):
-    return counts_as_double(listings(spark, d).where("is_model_candidate").select(*NORMALIZED_COLUMNS))
+    return counts_as_double(current_features(spark, d).where("is_model_candidate").select(*NORMALIZED_COLUMNS))
 
 
 # The columns of the raw sample, in file order.
@@ -161,7 +161,7 @@ def feature_envelope(spark, d):
 
 @query
 def quality_report_json(spark, d):
-    return quality.report(listings(spark, d))
+    return quality.report(current_features(spark, d))
 
 
 # Extraction from stored pages
@@ -318,7 +318,7 @@ def request_error_codes(spark, d):
 
 @query
 def training_gate(spark, d):
-    rows = listings(spark, d).agg(
+    rows = current_features(spark, d).agg(
         F.count_if(F.col("is_model_candidate") & F.col("has_target_price")).alias("trainable_rows")
     )
     return rows.select(
@@ -412,24 +412,26 @@ def collection_counts(spark, d):
 
 @query
 def quality_summary(spark, d):
-    return quality.summary(listings(spark, d))
+    return quality.summary(current_features(spark, d))
 
 
 @query
 def property_type_distribution(spark, d):
-    return quality.group_counts(listings(spark, d), "property_type")
+    return quality.group_counts(current_features(spark, d), "property_type")
 
 
 @query
 def top_provinces(spark, d):
-    return quality.group_counts(listings(spark, d), "province_slug", 20)
+    return quality.group_counts(current_features(spark, d), "province_slug", 20)
 
 
 @query
 def feature_health(spark, d):
     """Day's totals, rows of the last hour, last update and number of property types."""
-    recent = quality.newer_than(listings(spark, d), "2001-06-01T08:00:00+00:00", 1, "scraped_at")
-    last_hour = quality.epoch_seconds(F.col("updated_at")) > quality.epoch_seconds(F.lit("2001-06-01T05:00:00+00:00"))
+    now = "2001-06-01T08:00:00+00:00"
+    recent = quality.newer_than(current_features(spark, d), now, 1, "scraped_at")
+    age = quality.epoch_seconds(F.lit(now)) - quality.epoch_seconds(F.col("updated_at"))
+    last_hour = (age >= 0) & (age < 3600)
     return recent.agg(
         F.count("*").alias("total_records"),
         F.count_if(last_hour).alias("records_last_hour"),
@@ -440,7 +442,7 @@ def feature_health(spark, d):
 
 @query
 def quality_24h(spark, d):
-    recent = quality.newer_than(listings(spark, d), "2001-06-01T08:00:00+00:00", 1, "updated_at")
+    recent = quality.newer_than(current_features(spark, d), "2001-06-01T08:00:00+00:00", 1, "updated_at")
     counted = recent.agg(
         F.count("*").alias("total"),
         F.count_if("is_model_candidate").alias("candidates"),
@@ -534,15 +536,19 @@ def raw_schema_checks(spark, d):
 
 @query
 def hourly_volume(spark, d):
+    """Events per hour from the first to the last, hours without events included."""
     counts = tables.read(spark, d, "events").groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour"))
-    volume = counts.agg(F.count("*").alias("rows"))
+    counted = counts.agg(F.count("*").alias("rows"))
+    ends = counted.agg(F.min("hour").alias("first"), F.max("hour").alias("last"))
+    hours = ends.select(F.explode(F.sequence("first", "last", F.expr("interval 1 hour"))).alias("hour"))
+    volume = hours.join(counted, "hour", "left").fillna(0, ["rows"])
     hour = F.date_format("hour", "yyyy-MM-dd HH:mm:ss").alias("hour")
     return volume.select(hour, "rows", (F.col("rows") >= 180).alias("on_target"), (F.col("rows") < 150).alias("warn"))
 
 
 @query
 def recent_training_rows(spark, d):
-    rows = trainable(listings(spark, d))
+    rows = trainable(current_features(spark, d))
     return quality.newer_than(rows, "2001-10-01T00:00:00+00:00", 30, "updated_at").select("url", "price_vnd", "updated_at")
 
 
@@ -712,52 +718,53 @@ def design_matrix(spark, d):
     return entries.withColumn("value", F.round("value", 6))
 
 
-# Boosting rounds and depth of the registered model queries. The library's defaults are the model's own 250 rounds
-# of depth 8; a fit of that size takes far longer than a check run allows.
-QUERY_SETTINGS = training.Settings(boost_rounds=4, boost_depth=4)
-_FITTED: dict[tuple[str, str], training.TrainResult] = {}
+# The model's own settings; fits take at most this many labelled rows.
+QUERY_SETTINGS = training.Settings(fit_rows=10_000)
+_FITTED: dict[tuple[str, str], tuple[training.TrainResult, DataFrame]] = {}
 
 
-def fitted(spark, d) -> training.TrainResult:
-    """The model trained once per session and data set for all queries below."""
+def fitted(spark, d) -> tuple[training.TrainResult, DataFrame]:
+    """The model and its training table, made once per session and data set for all queries below."""
     key = (spark.sparkContext.applicationId, d)
     if key not in _FITTED:
-        _FITTED[key] = training.train(training_table(spark, d), QUERY_SETTINGS)
+        table = training_table(spark, d)
+        _FITTED[key] = training.train(table, QUERY_SETTINGS), table
     return _FITTED[key]
 
 
-def _in_log_space(spark, d, column: str) -> DataFrame:
-    scored = fitted(spark, d).model.transform(training_table(spark, d))
-    return evaluate.regression_metrics(scored, F.log1p(fixed.TARGET), F.col(column))
+def _held_out(spark, d, column: str) -> DataFrame:
+    """Metrics in log space over the rows that the fit has not seen."""
+    return evaluate.regression_metrics(fitted(spark, d)[0].held_out, F.log1p(fixed.TARGET), F.col(column))
 
 
 @query
 def ridge_fit(spark, d):
-    return _in_log_space(spark, d, "ridge_log")
+    return _held_out(spark, d, "ridge_log")
 
 
 @query
 def gbt_fit(spark, d):
-    return _in_log_space(spark, d, "boost_log")
+    return _held_out(spark, d, "boost_log")
 
 
 @query
 def ensemble_score(spark, d):
-    scored = fitted(spark, d).model.transform(training_table(spark, d))
+    result, table = fitted(spark, d)
+    scored = result.model.transform(table)
     return scored.select("url", "ridge_log", "boost_log", fixed.TARGET, "predicted_price_vnd")
 
 
 @query
 def scored_listings(spark, d):
     """Predictions for every stored listing, priced or not."""
-    scored = fitted(spark, d).model.transform(current_features(spark, d))
+    scored = fitted(spark, d)[0].model.transform(current_features(spark, d))
     return scored.select("url", "price_vnd", "predicted_price_vnd", "predicted_price_billion_vnd")
 
 
 @query
 def batch_score_summary(spark, d):
     renamed = requests(spark, d).withColumnsRenamed({"direction_text": "direction", "legal_text": "legal"})
-    return training.batch_summary(training.score_batch(renamed, fitted(spark, d).model))
+    return training.batch_summary(training.score_batch(renamed, fitted(spark, d)[0].model))
 
 
 # Metrics and alerts

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -26,9 +27,11 @@ def local_session(cores: int | str = "*", partitions: int = 8, memory: str = "8g
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a fresh local one only where that is unset (tests)."""
+    """The shared folder named by ``spark.checkpoint.dir``; where that is unset, a fresh one in local mode only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = tempfile.mkdtemp(prefix="run-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
@@ -41,3 +44,11 @@ def cut_lineage(df):
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(checkpoint_folder(spark))
     return df.checkpoint(eager=True)
+
+
+def written(df):
+    """The rows as a table in the shared folder, read back: later plans know its true size, and it survives executors."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)

@@ -145,3 +145,21 @@ def test_pairs_entities_and_ngrams(spark):
     assert row.text == "<😀 é�"
     assert row.grams == ["nhà", "đẹp", "hcm_x", "nhà đẹp", "đẹp hcm_x"]
     assert row.none == []
+
+
+def test_links_to_parent_folders(spark):
+    from gablework.functions.urls import resolve_url
+
+    links = {
+        "../x": "/x",
+        "../../x/y": "/x/y",
+        "./a": "/a",
+        "a/../b": "/b",
+        "a/b/../../c?d=../e": "/c?d=../e",
+        "a/b/../c": "/a/c",
+        "/p/q": "/p/q",
+        "?q=1": "?q=1",
+    }
+    df = spark.createDataFrame([(k,) for k in links], "href string")
+    got = {r.href: r.url for r in df.select("href", resolve_url(F.col("href"), "https://site.example/").alias("url")).collect()}
+    assert got == {k: "https://site.example" + v for k, v in links.items()}

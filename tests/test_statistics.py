@@ -141,3 +141,20 @@ def test_null_series_is_kept(spark):
     df = spark.createDataFrame([(None, float(t), t != 150) for t in range(0, 300, 10)], "name string, ts double, c boolean")
     got = timeline.held_since(df, ["name"], F.col("c"), chunk=100).orderBy("ts").collect()
     assert [r.since for r in got] == [0.0 if t < 150 else None if t == 150 else 160.0 for t in range(0, 300, 10)]
+
+
+def test_families_of_two_ranges_in_one_hundred(spark):
+    from gablework.operators import monitor
+
+    families = spark.createDataFrame([(1, 49, "a"), (50, 99, "b"), (150, 320, "c")], "first long, last long, family string")
+    codes = spark.createDataFrame([(10,), (60,), (100,), (301,), (None,)], "code long")
+    got = {r.code: r.family for r in monitor.families_of(codes, "code", families).collect()}
+    assert got == {10: "a", 60: "b", 100: None, 301: "c", None: None}
+
+
+def test_rows_without_a_key_are_split_too(spark):
+    from gablework.operators.split import mark_test
+
+    keys = [(f"u{i}",) for i in range(16)] + [(None,)] * 4
+    marked = mark_test(spark.createDataFrame(keys, "url string"), F.col("url"))
+    assert marked.count() == 20 and marked.where("is_test").count() >= 4
