@@ -32,11 +32,14 @@ def allowed(length: Column) -> Column:
     return F.least(F.lit(MAX_EDITS), F.floor(length / CHARS_PER_EDIT).cast("int"))
 
 
-def segment(length: Column, edits: int, i: int) -> tuple[Column, Column]:
-    """Start (from 1) and length of segment ``i`` (from 0) of a line; longer segments come last."""
-    base = F.floor(length / (edits + 1)).cast("int")
-    short = edits + 1 - (length - base * (edits + 1))
-    return 1 + i * base + F.greatest(F.lit(0), i - short), base + F.when(F.lit(i) >= short, 1).otherwise(0)
+def segments(length: Column, edits: int) -> list[tuple[Column, Column]]:
+    """Start (from 1) and length of the ``edits`` + 1 even segments of a line; longer segments come last."""
+    short = edits + 1 - F.pmod(length, F.lit(edits + 1))
+    base = ((length - F.pmod(length, F.lit(edits + 1))) / (edits + 1)).cast("int")
+    return [
+        (1 + i * base + F.greatest(F.lit(0), i - short), base + F.when(F.lit(i) >= short, 1).otherwise(0))
+        for i in range(edits + 1)
+    ]
 
 
 def places(edits: int, longer_by: int, i: int) -> list[int]:
@@ -48,22 +51,45 @@ def places(edits: int, longer_by: int, i: int) -> list[int]:
     return list(range(max(-i, longer_by - rest), min(i, longer_by + rest) + 1))
 
 
-def keys(line: Column, length: Column) -> Column:
-    """(key, own) of all index entries of a line: its segments (own) and the places to probe for shorter lines."""
-    parts = []
+def entries_of(lines: DataFrame) -> DataFrame:
+    """(key, h, own) of lines (line, n): keys of their own segments (own), and of the places to probe for lines that
+    are as long or shorter."""
+    cuts = {}
     for longer_by in range(MAX_EDITS + 1):
-        other = length - longer_by
         for edits in range(max(1, longer_by), MAX_EDITS + 1):
-            entries = []
-            for i in range(edits + 1):
-                start, width = segment(other, edits, i)
-                for shift in places(edits, longer_by, i):
-                    text = F.substring(line, start + shift, width)
-                    key = F.xxhash64(other, F.lit(i), text)
-                    entries.append(F.struct(key.alias("key"), F.lit(longer_by == 0 and shift == 0).alias("own")))
-            empty = F.array().cast("array<struct<key:bigint,own:boolean>>")
-            parts.append(F.when(allowed(other) == edits, F.array(*entries)).otherwise(empty))
-    return F.concat(*parts)
+            for i, (start, width) in enumerate(segments(F.col("n") - longer_by, edits)):
+                cuts[f"start_{longer_by}_{edits}_{i}"], cuts[f"width_{longer_by}_{edits}_{i}"] = start, width
+
+    def keys(longer_by: int, edits: int, own: bool) -> list[Column]:
+        return [
+            F.xxhash64(
+                F.col("n") - longer_by,
+                F.lit(i),
+                F.substring(
+                    F.col("line"), F.col(f"start_{longer_by}_{edits}_{i}") + shift, F.col(f"width_{longer_by}_{edits}_{i}")
+                ),
+            )
+            for i in range(edits + 1)
+            for shift in places(edits, longer_by, i)
+            if own == (longer_by == 0 and shift == 0)
+        ]
+
+    def all_keys(edits_by_longer: list[int]) -> Column:
+        """Own keys first; ``edits_by_longer`` has the edits allowed with a line that is 0, 1, .. characters shorter."""
+        listed = keys(0, edits_by_longer[0], True)
+        for longer_by, edits in enumerate(edits_by_longer):
+            listed += keys(longer_by, edits, False) if edits >= max(1, longer_by) else []
+        return F.array(*listed)
+
+    # The edits allowed with shorter lines change only within MAX_EDITS characters above a multiple.
+    cases = F.lit(None).cast("array<bigint>")
+    for edits in range(1, MAX_EDITS + 1):
+        for above in range(MAX_EDITS + 1):
+            known = [edits if longer_by <= above else edits - 1 for longer_by in range(MAX_EDITS + 1)]
+            cases = F.when(F.col("n") >= edits * CHARS_PER_EDIT + above, all_keys(known)).otherwise(cases)
+    listed = lines.select("line", "n", *[c.alias(name) for name, c in cuts.items()])
+    listed = listed.select(F.xxhash64("line").alias("h"), allowed(F.col("n")).alias("edits"), F.posexplode(cases).alias("at", "key"))
+    return listed.select("key", "h", (F.col("at") <= F.col("edits")).alias("own"))
 
 
 def bound(value: Column, use) -> Column:
@@ -176,9 +202,7 @@ def near_lines(docs: DataFrame, placed: DataFrame, lines: DataFrame, hot: DataFr
     owned = docs.withColumn("rank", F.coalesce("doc_id", F.lit(LAST))).join(F.broadcast(owners), "rank", "left_semi")
     heavy = line_table(owned).select("line", F.char_length("line").alias("n")).where(F.col("n") >= CHARS_PER_EDIT)
     heavy = heavy.join(F.broadcast(hot.select("digest")), digest(F.col("line")) == F.col("digest"), "left_semi")
-    entries = light.unionByName(heavy.distinct()).select(
-        F.xxhash64("line").alias("h"), F.inline(keys(F.col("line"), F.col("n")))
-    )
+    entries = entries_of(light.unionByName(heavy.distinct()))
     by_key = Window.partitionBy("key")
     shared = entries.repartition("key").distinct().select(
         "key", "h", "own", F.min("h").over(by_key).alias("least"), F.max("h").over(by_key).alias("most"),
@@ -186,10 +210,9 @@ def near_lines(docs: DataFrame, placed: DataFrame, lines: DataFrame, hot: DataFr
     )
     shared = stored(shared.where("least < most and indexed").select("key", "h", "own"))
 
-    wanted = shared.select("h").distinct()
-    first = placed.join(wanted, "h").join(lines.select("digest", "first_doc"), "digest").where("rank = first_doc")
-    first = stored(first.groupBy("digest", "h", "first_doc").agg(F.min(F.struct("doc_id", "text_hash", "pos")).alias("at")))
-    at = first.select("digest", "h", "first_doc", *[F.col(f"at.{c}").alias(f"at_{c}") for c in ("doc_id", "text_hash", "pos")])
+    wanted = lines.join(shared.select("h").distinct(), "h").select("digest", "h", "first_doc", "place")
+    first = stored(wanted.join(placed.select("place", "doc_id", "text_hash", "pos"), "place"))
+    at = first.select("digest", "h", "first_doc", *[F.col(c).alias(f"at_{c}") for c in ("doc_id", "text_hash", "pos")])
     at = F.broadcast(at) if first.count() <= MAX_BROADCAST_LINES else at
     raw = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
     here = (
@@ -251,9 +274,15 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         F.coalesce("doc_id", F.lit(LAST)).alias("rank"),
         digest(F.col("line")).alias("digest"),
         F.xxhash64("line").alias("h"),
+        F.monotonically_increasing_id().alias("place"),
     )
     placed = stored(found)
-    lines = placed.groupBy("digest").agg(F.min("rank").alias("first_doc"), F.count(F.lit(1)).alias("n"))
+    lines = placed.groupBy("digest").agg(
+        F.min("rank").alias("first_doc"),
+        F.min_by("place", "rank").alias("place"),
+        F.min("h").alias("h"),
+        F.count(F.lit(1)).alias("n"),
+    )
     lines = stored(lines)
     hot = stored(lines.where(F.col("n") * HOT_LINES >= max(placed.count(), HOT_LINES)))
     near = near_lines(plain, placed, lines, hot).withColumn("near", F.lit(True))
@@ -262,7 +291,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         .unionByName(lines.where("n = 1").join(near, "digest").select("digest", "first_doc", "near"))
     )
     own = Window.partitionBy("doc_id", "text_hash", "digest")
-    places_of = placed.withColumn("kept", F.min("pos").over(own)).drop("h")
+    places_of = placed.withColumn("kept", F.min("pos").over(own)).drop("h", "place")
     often = F.broadcast(several.join(F.broadcast(hot.select("digest")), "digest", "left_semi"))
     seldom = several.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
     not_hot = places_of.join(F.broadcast(hot.select("digest")), "digest", "left_anti")

@@ -6,7 +6,7 @@ import pytest
 from cases import TEXTS, clashing, documents, rows_of
 from gablework.llm.exact_dedup import exact_dedup, misra_gries
 from gablework.llm.jaccard_join import Forest, jaccard_join, keep_one, links_of_block, prefix_depth, recall_at
-from gablework.llm.line_dedup import allowed, line_dedup, places, segment, within_edits
+from gablework.llm.line_dedup import allowed, line_dedup, places, segments, within_edits
 from gablework.llm.terms import WordHashes, shingles, words_of
 from pyspark.sql import functions as F
 
@@ -185,7 +185,7 @@ def test_bit_parallel_distance(spark):
 
 def test_segments_cover_a_line_and_places_are_complete(spark):
     for edits in (1, 2):
-        parts = [segment(F.col("n"), edits, i) for i in range(edits + 1)]
+        parts = segments(F.col("n"), edits)
         ends = spark.range(25, 200).select(F.col("id").cast("int").alias("n")).select(
             "n", *[c.alias(f"c{k}") for k, c in enumerate(c for p in parts for c in p)]
         )
