@@ -557,11 +557,10 @@ RETENTION_DAYS = {"raw_topic": 7, "feature_topic": 30, "raw_archive": 90, "featu
 
 @query
 def retention_filter(spark, d):
-    """Rows every store still keeps, counted per day first and only then per store."""
-    days = listings(spark, d).groupBy("scraped_at").agg(F.count("*").alias("n"))
+    """Rows every store still keeps, all stores counted in one pass."""
     age = (quality.epoch_seconds(F.lit("2001-10-01T00:00:00+00:00")) - quality.epoch_seconds(F.col("scraped_at"))) / 86400
-    kept = [F.coalesce(F.sum(F.when(age <= limit, F.col("n"))), F.lit(0)).alias(name) for name, limit in RETENTION_DAYS.items()]
-    return days.agg(*kept).unpivot([], list(RETENTION_DAYS), "store", "kept_rows")
+    kept = [F.count_if(age <= limit).alias(name) for name, limit in RETENTION_DAYS.items()]
+    return listings(spark, d).agg(*kept).unpivot([], list(RETENTION_DAYS), "store", "kept_rows")
 
 
 @query

@@ -2,11 +2,14 @@
 
 Every micro-batch is decoded, normalised, validated and appended to five logs. A log keeps one folder per
 batch that is overwritten when the batch is replayed after a failure, so at-least-once delivery leaves no
-duplicates. "The row of a url" is a view over a log: its last arrival. ``compact`` writes that view down.
+duplicates. "The row of a url" is a view over a log: its last arrival. ``compact`` writes that view down as a
+snapshot in a folder of its own; later reads and snapshots take the newest complete one and newer batches only.
 """
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,7 +21,7 @@ from ..operators.upsert import latest_by_key, merge_fields
 from ..session import checkpoint_folder
 
 LOGS = ["listings_raw", "training_features", "invalid_records", "dlq_raw", "feature_messages"]
-ARRIVAL = ["offset", "partition"]
+ARRIVAL = routing.POSITION
 
 
 def _append(df: DataFrame, base: str, log: str, batch: int) -> None:
@@ -49,26 +52,66 @@ def store_batch(messages: DataFrame, batch: int, base: str, now: Column | None =
         decoded.unpersist()
 
 
+def default_checkpoint(spark: SparkSession, base: str) -> str:
+    name = hashlib.sha256(base.rstrip("/").encode()).hexdigest()[:20]
+    return f"{checkpoint_folder(spark).rstrip('/')}/ingest-{name}"
+
+
 def start_ingest(
     messages: DataFrame, base: str, checkpoint: str | None = None, now: Column | None = None, continuous: bool = False
 ) -> StreamingQuery:
-    """Start the stream. Not ``continuous``: process what is there in bounded batches, then stop."""
+    """Start the stream. Not ``continuous``: process what is there, then stop.
+
+    Batches are as large as the source makes them; bound them there (maxFilesPerTrigger, maxOffsetsPerTrigger). The
+    default checkpoint is named after the target, so streams into different targets never share one.
+    """
     # Counters of every batch, for query progress and listeners.
     observed = messages.observe("ingest", F.count("*").alias("consumed"), F.max("offset").alias("last_offset"))
     writer = observed.writeStream.option(
-        "checkpointLocation", checkpoint or f"{checkpoint_folder(messages.sparkSession)}/ingest"
+        "checkpointLocation", checkpoint or default_checkpoint(messages.sparkSession, base)
     ).foreachBatch(lambda df, batch: store_batch(df, batch, base, now))
     writer = writer.trigger(processingTime="1 second") if continuous else writer.trigger(availableNow=True)
     return writer.start()
 
 
+def _batches(spark: SparkSession, base: str, name: str) -> DataFrame:
+    return spark.read.option("mergeSchema", "false").parquet(f"{base}/{name}")
+
+
 def log(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.option("mergeSchema", "false").parquet(f"{base}/{name}").drop("batch")
+    return _batches(spark, base, name).drop("batch")
+
+
+def newest_snapshot(spark: SparkSession, target: str) -> int | None:
+    """Last batch in the newest complete snapshot; one that a crash has cut short has no success mark."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(target)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return None
+    done = [
+        int(entry.getPath().getName().removeprefix("upto="))
+        for entry in files.listStatus(path)
+        if entry.getPath().getName().startswith("upto=")
+        and files.exists(spark._jvm.org.apache.hadoop.fs.Path(entry.getPath(), "_SUCCESS"))
+    ]
+    return max(done, default=None)
+
+
+def _last_arrivals(spark: SparkSession, base: str, name: str, target: str | None) -> DataFrame:
+    upto = None if target is None else newest_snapshot(spark, target)
+    rows = _batches(spark, base, name)
+    if upto is not None:
+        newer = rows.where(F.col("batch") > upto).drop("batch")
+        rows = newer.unionByName(spark.read.parquet(f"{target}/upto={upto}"))
+    return latest_by_key(rows.drop("batch"), ["url"], ARRIVAL, drop_order=False)
+
 
+def stored(spark: SparkSession, base: str, name: str, target: str | None = None) -> DataFrame:
+    """Current rows of a keyed table: the last arrival per url. A url that turned invalid keeps its last valid row.
 
-def stored(spark: SparkSession, base: str, name: str) -> DataFrame:
-    """Current rows of a keyed table: the last arrival per url. A url that turned invalid keeps its last valid row."""
-    return latest_by_key(log(spark, base, name).drop("topic"), ["url"], ARRIVAL)
+    With ``target``, the folder that ``compact`` writes to, only batches after its newest snapshot are aggregated.
+    """
+    return _last_arrivals(spark, base, name, target).drop(*ARRIVAL)
 
 
 def stored_raw_fields(spark: SparkSession, base: str) -> DataFrame:
@@ -86,6 +129,10 @@ def offsets(spark: SparkSession, base: str) -> DataFrame:
     )
 
 
-def compact(spark: SparkSession, base: str, name: str, target: str) -> None:
-    """Write the current rows of a log as a table of its own, replacing the previous one."""
-    stored(spark, base, name).write.mode("overwrite").parquet(target)
+def compact(spark: SparkSession, base: str, name: str, target: str) -> str:
+    """Write the current rows of a log as a new snapshot and give its folder; older snapshots stay readable."""
+    newest = _batches(spark, base, name).agg(F.max("batch")).first()[0]
+    folder = f"{target}/upto={newest}"
+    if newest is not None and newest != newest_snapshot(spark, target):
+        _last_arrivals(spark, base, name, target).write.mode("overwrite").parquet(folder)
+    return folder

@@ -154,7 +154,20 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     ingest.store_batch(batch, match, base, now())
     assert ingest.log(spark, base, "training_features").count() == before
     ingest.compact(spark, base, "training_features", str(tmp_path / "table"))
-    assert spark.read.parquet(str(tmp_path / "table")).count() == 2
+    table = str(tmp_path / "table")
+    assert ingest.stored(spark, base, "training_features", table).count() == 2
+    # Newer batches come on top of the snapshot, and one that a crash has cut short is not read.
+    newest = ingest.newest_snapshot(spark, table)
+    late = [{"url": "a", "price_text": "4 tỷ", "area_text": "100", "title": "late"}, {"url": "c", "price_text": "1 tỷ", "area_text": "50"}]
+    later = messages(spark, late).withColumn("offset", F.col("offset") + 100).withColumn("timestamp", F.current_timestamp())
+    ingest.store_batch(later, newest + 1, base, now())
+    (tmp_path / "table" / f"upto={newest + 9}").mkdir()
+    for _ in range(2):
+        rows = {r.url: r.title for r in ingest.stored(spark, base, "training_features", table).collect()}
+        assert set(rows) == {"a", "b", "c"} and rows["a"] == "late"
+        assert ingest.compact(spark, base, "training_features", table).endswith(f"upto={newest + 1}")
+    assert ingest.newest_snapshot(spark, table) == newest + 1
+    assert ingest.default_checkpoint(spark, base) != ingest.default_checkpoint(spark, base + "2")
 
 
 def test_files(spark, tmp_path):
