@@ -81,6 +81,16 @@ TEST_SHARE = 0.2
 MIN_TRAIN_ROWS = 200
 MIN_SCHEDULED_TRAIN_ROWS = 500
 
+# Model gate, fixed values: metric, limit to pass, limit to fail. Above the limits is good for r2 and sample_count.
+MODEL_LIMITS = [
+    ("r2", 0.75, 0.70),
+    ("mae_vnd", 500e6, 800e6),
+    ("rmse_vnd", 800e6, 1.2e9),
+    ("mape_pct", 15.0, 20.0),
+    ("sample_count", 5000.0, 3000.0),
+]
+MODEL_GAIN, MODEL_DROP = 0.01, 0.05
+
 # Message topics and tables.
 RAW_TOPIC = "real_estate_raw"
 FEATURE_TOPIC = "real_estate_features"

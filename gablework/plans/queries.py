@@ -612,6 +612,8 @@ def versions(spark, d):
         "lpad(cast(p_partkey as string), 12, '0') as version",
         "6e-1 + ((p_partkey * 7) % 25) / 1e2 as r2",
         "3e8 + p_size * 1e7 as mae_vnd",
+        "4e8 + p_size * 2e7 as rmse_vnd",
+        "8e0 + (p_partkey * 3) % 14 as mape_pct",
         "cast(p_size * 200 as bigint) as sample_count",
     )
 

@@ -128,6 +128,9 @@ def test_regression_metrics_and_ranges(spark):
     assert [(r.verdict, r.rollback) for r in gated.orderBy("version").collect()] == [
         ("ACCEPT", False), ("WARN", True), ("REJECT", True), ("ACCEPT", False),
     ]
+    more = [("m", "1", 0.80, 4e8, 7e8, 6000), ("m", "2", 0.805, 4e8, 7e8, 6000), ("m", "3", 0.82, 4e8, 7e8, 2000), ("m", "4", 0.9, 4e8, 9e8, None)]
+    gated = model_gate(spark.createDataFrame(more, "model string, version string, r2 double, mae_vnd double, rmse_vnd double, sample_count int"))
+    assert [r.verdict for r in gated.orderBy("version").collect()] == ["ACCEPT", "WARN", "REJECT", "WARN"]
 
 
 def test_error_families(spark):
