@@ -43,7 +43,7 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(ascii_lower(F.coalesce(text, F.lit(""))), NO_WORD), "")
 
 
-def stored(df: DataFrame) -> DataFrame:
+def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """The rows written to the shared folder and read again: computed once, and safe when executors are lost.
 
     Unlike a checkpoint the files are compressed and scans of them read only the columns they need. Like a
@@ -51,5 +51,5 @@ def stored(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.parquet(path)

@@ -21,7 +21,7 @@ from .common import ascii_lower, stored, table, unused
 
 CHARS_PER_EDIT, MAX_EDITS = 25, 2
 BLANKS = " \t\r\f\x0b"
-#: Places of candidate lines broadcast to fetch their texts, 60 bytes each; beyond this they are joined by shuffle.
+#: Places of candidate lines broadcast to fetch their texts, 50 bytes each; beyond this they are joined by shuffle.
 MAX_BROADCAST_LINES = 500_000
 #: Lines that are at least this fraction (1 / HOT_LINES) of all lines are handled by broadcast.
 HOT_LINES = 1000
@@ -191,18 +191,15 @@ def digest(line: Column) -> Column:
     return F.unhex(F.md5(line))
 
 
-def near_lines(docs: DataFrame, placed: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame:
+def near_lines(placed: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame:
     """Digests of the lines that are near a different line that precedes them.
 
-    placed: every occurrence; lines: the distinct lines; hot: those so frequent that they are indexed apart.
+    placed: every occurrence; lines: the distinct lines; hot: those so frequent that one occurrence stands for all.
     """
-    every = line_table(docs).select("line", F.char_length("line").alias("n")).where(F.col("n") >= CHARS_PER_EDIT)
-    light = every.join(F.broadcast(hot.select("digest")), digest(F.col("line")) == F.col("digest"), "left_anti")
-    owners = hot.select(F.col("first_doc").alias("rank")).distinct()
-    owned = docs.withColumn("rank", F.coalesce("doc_id", F.lit(LAST))).join(F.broadcast(owners), "rank", "left_semi")
-    heavy = line_table(owned).select("line", F.char_length("line").alias("n")).where(F.col("n") >= CHARS_PER_EDIT)
-    heavy = heavy.join(F.broadcast(hot.select("digest")), digest(F.col("line")) == F.col("digest"), "left_semi")
-    entries = entries_of(light.unionByName(heavy.distinct()))
+    once = F.broadcast(hot.select("digest", F.col("place").alias("only")))
+    every = placed.select("digest", "place", "line", F.char_length("line").alias("n")).where(F.col("n") >= CHARS_PER_EDIT)
+    some = every.join(once, "digest", "left").where(F.col("only").isNull() | (F.col("only") == F.col("place")))
+    entries = entries_of(some.select("line", "n"))
     by_key = Window.partitionBy("key")
     shared = entries.repartition("key").distinct().select(
         "key", "h", "own", F.min("h").over(by_key).alias("least"), F.max("h").over(by_key).alias("most"),
@@ -210,18 +207,10 @@ def near_lines(docs: DataFrame, placed: DataFrame, lines: DataFrame, hot: DataFr
     )
     shared = stored(shared.where("least < most and indexed").select("key", "h", "own"))
 
-    wanted = lines.join(shared.select("h").distinct(), "h").select("digest", "h", "first_doc", "place")
-    first = stored(wanted.join(placed.select("place", "doc_id", "text_hash", "pos"), "place"))
-    at = first.select("digest", "h", "first_doc", *[F.col(c).alias(f"at_{c}") for c in ("doc_id", "text_hash", "pos")])
-    at = F.broadcast(at) if first.count() <= MAX_BROADCAST_LINES else at
-    raw = docs.select("doc_id", "text_hash", F.posexplode(F.split("text", "\n")).alias("pos", "line"))
-    here = (
-        F.col("doc_id").eqNullSafe(F.col("at_doc_id"))
-        & (F.col("text_hash") == F.col("at_text_hash"))
-        & (F.col("pos") == F.col("at_pos"))
-    )
-    texts = raw.join(at, here).select("digest", "h", "first_doc", F.btrim(ascii_lower(F.col("line")), F.lit(BLANKS)).alias("line"))
-    texts = stored(texts.dropDuplicates(["digest"]).withColumn("bits", sketch(F.col("line"))))
+    wanted = stored(lines.join(shared.select("h").distinct(), "h").select("digest", "h", "first_doc", "place"))
+    at = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_LINES else wanted
+    texts = placed.select("place", "line").join(at, "place").withColumn("bits", sketch(F.col("line"))).drop("place")
+    texts = stored(texts)
     entries = stored(shared.join(texts.select("h", "digest", "first_doc", "bits"), "h").drop("h").distinct())
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -275,8 +264,9 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         digest(F.col("line")).alias("digest"),
         F.xxhash64("line").alias("h"),
         F.monotonically_increasing_id().alias("place"),
+        "line",
     )
-    placed = stored(found)
+    placed = stored(found, "zstd")
     lines = placed.groupBy("digest").agg(
         F.min("rank").alias("first_doc"),
         F.min_by("place", "rank").alias("place"),
@@ -285,13 +275,13 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     lines = stored(lines)
     hot = stored(lines.where(F.col("n") * HOT_LINES >= max(placed.count(), HOT_LINES)))
-    near = near_lines(plain, placed, lines, hot).withColumn("near", F.lit(True))
+    near = near_lines(placed, lines, hot).withColumn("near", F.lit(True))
     several = stored(
         lines.where("n > 1").join(near, "digest", "left").select("digest", "first_doc", "near")
         .unionByName(lines.where("n = 1").join(near, "digest").select("digest", "first_doc", "near"))
     )
     own = Window.partitionBy("doc_id", "text_hash", "digest")
-    places_of = placed.withColumn("kept", F.min("pos").over(own)).drop("h", "place")
+    places_of = placed.drop("line").withColumn("kept", F.min("pos").over(own)).drop("h", "place")
     often = F.broadcast(several.join(F.broadcast(hot.select("digest")), "digest", "left_semi"))
     seldom = several.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
     not_hot = places_of.join(F.broadcast(hot.select("digest")), "digest", "left_anti")
