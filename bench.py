@@ -26,6 +26,7 @@ QUERIES = [
     "page_links",
     "counter_rate",
     "alert_error_rate",
+    "alert_firing",
     "tfidf_terms",
     "ridge_fit",
     "batch_score_summary",

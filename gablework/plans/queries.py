@@ -164,6 +164,37 @@ def quality_report_json(spark, d):
     return quality.report(current_features(spark, d))
 
 
+@query
+def feature_envelope_fields(spark, d):
+    """The audit messages read back, field by field."""
+    fields = "url string, property_type string, price_vnd double, area_m2 double, is_model_candidate boolean, validation_errors array<string>"
+    read = feature_envelope(spark, d).select("key", F.from_json("value", fields).alias("v"))
+    errors = F.coalesce(joined("v.validation_errors"), F.lit("")).alias("errors")
+    return read.select("key", "v.url", "v.property_type", "v.price_vnd", "v.area_m2", "v.is_model_candidate", errors)
+
+
+@query
+def quality_report_fields(spark, d):
+    """The report read back: totals and both lists as rows (section, pos, id, count)."""
+    pairs = "array<struct<_id string, count bigint>>"
+    totals = ["total_records", "model_candidates", "records_with_target_price"]
+    fields = ", ".join([*[f"{c} bigint" for c in totals], f"property_type_distribution {pairs}", f"top_provinces {pairs}"])
+    read = quality_report_json(spark, d).select(F.from_json("report", fields).alias("r")).select("r.*")
+    named = F.array(*[F.struct(F.lit(c).alias("_id"), F.col(c).alias("count")) for c in totals])
+    sections = F.array(
+        *[
+            F.struct(F.lit(name).alias("section"), entries.alias("entries"))
+            for name, entries in {
+                "totals": named,
+                "property_types": F.col("property_type_distribution"),
+                "top_provinces": F.col("top_provinces"),
+            }.items()
+        ]
+    )
+    rows = read.select(F.inline(sections)).select("section", F.posexplode("entries").alias("pos", "e"))
+    return rows.select("section", "pos", F.col("e._id").alias("id"), F.col("e.count").alias("count"))
+
+
 # Extraction from stored pages
 
 

@@ -46,9 +46,9 @@ def cut_lineage(df):
     return df.checkpoint(eager=True)
 
 
-def written(df):
+def written(df, compression: str = "snappy"):
     """The rows as a table in the shared folder, read back: later plans know its true size, and it survives executors."""
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.parquet(path)
