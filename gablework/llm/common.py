@@ -7,12 +7,10 @@ and characters outside ASCII.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_folder
+from ..session import written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NO_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -49,7 +47,4 @@ def stored(df: DataFrame, compression: str = "snappy") -> DataFrame:
     Unlike a checkpoint the files are compressed and scans of them read only the columns they need. Like a
     checkpoint they stay until the owner of the folder clears it.
     """
-    spark = df.sparkSession
-    path = f"{checkpoint_folder(spark).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.parquet(path)
+    return written(df, compression)

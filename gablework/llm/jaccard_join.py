@@ -96,14 +96,22 @@ def intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.nd
 
 
 def links_of_block(
-    tree: int, homes: np.ndarray, weights: np.ndarray, prefixes: np.ndarray, sets: list[np.ndarray], threshold: float
+    tree: int,
+    homes: np.ndarray | None,
+    weights: np.ndarray,
+    prefixes: np.ndarray,
+    sets: list[np.ndarray],
+    threshold: float,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Per node the weight of its links found here, and the number of the node that stands for its linked group."""
+    """Per node the weight of its links found here, and the number of the node that stands for its linked group.
+
+    With ``homes`` only nodes of different homes are compared.
+    """
     n = len(sets)
     sizes = np.array([len(s) for s in sets])
     i, j = np.triu_indices(n, 1)
     keep = np.minimum(sizes[i], sizes[j]) >= threshold * np.maximum(sizes[i], sizes[j]) - 1e-9
-    if len(set(homes.tolist())) > 1:
+    if homes is not None:
         keep &= homes[i] != homes[j]
     i, j = i[keep], j[keep]
     for t in range(tree):
@@ -183,9 +191,10 @@ def compare_blocks(rows: DataFrame, trees: int, threshold: float) -> DataFrame:
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def block(part: pd.DataFrame) -> pd.DataFrame:
             digests = part["digest"].tolist()
+            one = part.iloc[0]
             weight, root = links_of_block(
-                int(part["tree"].iloc[0]),
-                part["home"].to_numpy(),
+                int(one["tree"]),
+                None if one["low"] == one["high"] else part["home"].to_numpy(),
                 part["weight"].to_numpy(),
                 np.stack([np.frombuffer(p, dtype=np.uint64) for p in part["prefixes"]]),
                 [np.frombuffer(s, dtype=np.uint64) for s in part["items"]],

@@ -110,7 +110,7 @@ def test_blocks_count_each_pair_once():
     forest = Forest(8, 2)
     prefixes = np.stack([forest.prefixes(s) for s in sets])
     weights = draw.integers(1, 4, len(sets))
-    weight, root = links_of_block(0, np.zeros(len(sets)), weights, prefixes, sets, 0.8)
+    weight, root = links_of_block(0, None, weights, prefixes, sets, 0.8)
     held = [set(s.tolist()) for s in sets]
     want = [sum(weights[b] for b in range(len(sets)) if b != a and len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])) for a in range(len(sets))]
     assert weight.tolist() == want
@@ -120,7 +120,7 @@ def test_blocks_count_each_pair_once():
     total, _ = links_of_block(0, homes, weights, prefixes, sets, 0.8)
     for home in (0, 1):
         own = np.flatnonzero(homes == home)
-        inner, _ = links_of_block(0, homes[own], weights[own], prefixes[own], [sets[k] for k in own], 0.8)
+        inner, _ = links_of_block(0, None, weights[own], prefixes[own], [sets[k] for k in own], 0.8)
         total[own] += inner
     assert total.tolist() == want
 
