@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from .text import blank_to_null, clean_text
 
+# The fields of the search text, of the training text, and those the coverage score counts, in order.
 TEXT_PARTS = [
     "title",
     "property_type",

@@ -67,6 +67,7 @@ def alert_write_failures(samples: DataFrame, hold: float = FIVE_MINUTES) -> Data
     return firing(rows, ["instance"], F.col("value") > 0, hold)
 
 
+# Alert names and severities.
 ALERTS = {
     "HighProcessingErrorRate": ("critical", alert_error_rate),
     "HighKafkaConsumerLag": ("warning", alert_lag),

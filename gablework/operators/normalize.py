@@ -12,7 +12,7 @@ from ..functions.numbers import half_even_int, parse_price
 from ..functions.text import blank_to_null, clean_text
 from ..sources.values import flag_field, number_field, text_field
 
-# Output column <- raw field, for the plain text columns.
+# Output column <- raw field, for the plain text columns.
 _TEXTS = {
     "listing_id": "listing_id",
     "title": "title",
