@@ -98,20 +98,14 @@ def bound(value: Column, use) -> Column:
 
 
 def sketch(line: Column) -> Column:
-    """64 parities of hashed character pairs; one edit flips at most four of them."""
-
-    def parities(chars: Column) -> Column:
-        return F.aggregate(
-            F.sequence(F.lit(0), F.size(chars) - 2),
-            F.lit(0).cast("long"),
-            lambda bits, i: bits.bitwiseXOR(
-                F.call_function(
-                    "shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(F.get(chars, i), F.get(chars, i + 1)), F.lit(64))
-                )
-            ),
-        )
-
-    return bound(F.split(line, ""), parities)
+    """64 parities of the hashed words of a line; one edit flips at most three of them (it may join two words)."""
+    return F.aggregate(
+        F.split(line, " "),
+        F.lit(0).cast("long"),
+        lambda bits, word: bits.bitwiseXOR(
+            F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(word), F.lit(64)))
+        ),
+    )
 
 
 def within_edits(longer: Column, shorter: Column, edits: Column) -> Column:
@@ -201,11 +195,11 @@ def near_lines(placed: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame
     some = every.join(once, "digest", "left").where(F.col("only").isNull() | (F.col("only") == F.col("place")))
     entries = entries_of(some.select("line", "n"))
     by_key = Window.partitionBy("key")
-    shared = entries.repartition("key").distinct().select(
+    shared = entries.repartition("key").select(
         "key", "h", "own", F.min("h").over(by_key).alias("least"), F.max("h").over(by_key).alias("most"),
         F.max("own").over(by_key).alias("indexed"),
     )
-    shared = stored(shared.where("least < most and indexed").select("key", "h", "own"))
+    shared = stored(shared.where("least < most and indexed").select("key", "h", "own").distinct())
 
     wanted = stored(lines.join(shared.select("h").distinct(), "h").select("digest", "h", "first_doc", "place"))
     at = F.broadcast(wanted) if wanted.count() <= MAX_BROADCAST_LINES else wanted
@@ -240,7 +234,7 @@ def near_lines(placed: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame
     pairs = left.join(x, "key").where(
         (F.col("own") | F.col("x_own"))
         & (F.struct("x_first_doc", "x_digest") < order)
-        & (F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= 4 * MAX_EDITS)
+        & (F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= 3 * MAX_EDITS)
     )
     rest = verified(pairs.select(F.col("x_digest").alias("before"), F.col("digest").alias("after")))
     return settled.unionByName(rest).distinct()
@@ -295,8 +289,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     same = docs[id_col].cast("long").eqNullSafe(gone[own_id]) & (F.xxhash64(docs[text_col]) == gone[own_hash])
     all_lines = F.split(F.col(text_col), "\n")
-    count = F.size(all_lines)
-    left = F.array_except(F.sequence(F.lit(0), count - 1), F.col(places_gone))
+    ends = F.octet_length(F.col(text_col)) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
+    left = F.array_except(F.sequence(F.lit(0), ends), F.col(places_gone))
     cut = F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n")
     joined = docs.join(gone, same, "left")
     return joined.select(
@@ -305,7 +299,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             for c in docs.columns
             if c not in ("n_lines", "n_removed")
         ],
-        F.when(F.col(text_col).isNull(), 0).otherwise(count).cast("long").alias("n_lines"),
+        F.coalesce(ends + 1, F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size(places_gone), F.lit(0)).cast("long").alias("n_removed"),
     )
 
