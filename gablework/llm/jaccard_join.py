@@ -27,7 +27,7 @@ BLOCK = 256
 #: Sets held by at least this fraction (1 / HOT_SETS) of the rows are joined by broadcast.
 HOT_SETS = 1000
 #: Shingles hashed at once, pairs and columns compared at once: bounds of the arrays in a worker.
-HASHED, PAIRS, COLUMNS = 1024, 4096, 16384
+HASHED, PAIRS, COLUMNS = 512, 2048, 8192
 
 
 def recall_at(depth: int, trees: int, similarity: float) -> float:

@@ -24,9 +24,9 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    """64-bit hashes of words, kept up to a bounded number."""
+    """64-bit hashes of words, kept up to a bounded number (some 200 bytes each in every Python worker)."""
 
-    def __init__(self, cached: int = 500_000):
+    def __init__(self, cached: int = 100_000):
         super().__init__()
         self.cached = cached
 
