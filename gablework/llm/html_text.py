@@ -37,7 +37,16 @@ PLAIN, UNKNOWN_TAG, LEAST_COST = 1.0, -0.5, 0.02
 NEUTRAL = {"html", "body", "div", "center"}
 
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)")
-_NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
+#: Values of class, id and role; the quoted values of other attributes are taken whole, as they may hold markup.
+_NAMES = re.compile(
+    r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))|=\s*(?:"[^"]*"|'[^']*')""", re.I
+)
+#: Attributes with their values closed; one attribute up to its value, with the quote that opens it, or the tag's end.
+_ATTRIBUTES = re.compile(
+    r"""(?:[\s/]*+[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:"[^"]*+"|'[^']*+'|(?!["'])[^\s>]*+)|(?!\s*+=)))*+[\s/]*+"""
+)
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(["']?))?+)?+""")
+_UNQUOTED = re.compile(r"[^\s>]*+")
 MARKS = re.compile(r"\{\{|\}\}")
 _PART = re.compile(r"[a-z]+")
 _END = {name: re.compile(rf"</{name}\s*>", re.I) for name in SKIPPED}
@@ -54,7 +63,7 @@ def named(attributes: str) -> tuple[str, ...]:
 
 def tokens(page: str) -> Iterator[Token]:
     """Texts and tags in order; comments, declarations and skipped elements are left out. Linear in the page."""
-    at, size, missing = 0, len(page), set()
+    at, size, missing, ends = 0, len(page), set(), TagEnds(page)
     while at < size:
         start = page.find("<", at)
         if start < 0:
@@ -71,7 +80,7 @@ def tokens(page: str) -> Iterator[Token]:
             at = size if end < 0 else end + 1
             continue
         tag = _TAG.match(page, start)
-        end = tag_end(page, start) if tag else -1
+        end = ends.find(start, tag.end()) if tag else -1
         if end < 0:
             if tag and page.find(">", start) < 0:  # no tag can follow
                 yield "text", page[start:], ()
@@ -94,16 +103,37 @@ def tokens(page: str) -> Iterator[Token]:
             yield "open", name, named(attributes) if attributes else ()
 
 
-def tag_end(page: str, start: int, tries: int = 8) -> int:
-    """The end of a tag: the first > with quotes closed before it, or else the first > of all."""
-    first = end = page.find(">", start)
-    for _ in range(tries):
-        if end < 0 or page.count('"', start, end) % 2 == 0:
-            break
-        end = page.find(">", end + 1)
-    else:
-        end = first
-    return first if end < 0 else end
+class TagEnds:
+    """Where the tags of a page end: at the first > that is in no quoted value. Linear in the page.
+
+    A quote opens a value only after =, and only if it is closed somewhere; else it is an ordinary character. A tag
+    of which every > is in quoted values ends at the first > of all; the places that such a tag has led through are
+    kept, so that no later tag follows them again.
+    """
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {quote: page.rfind(quote) for quote in "\"'"}
+        self.dead: set[int] = set()
+
+    def find(self, start: int, at: int) -> int:
+        """The end of the tag at ``start``, whose name ends at ``at``; -1 if no > follows."""
+        page, seen = self.page, []
+        first = page.find(">", start)
+        if first < 0 or _ATTRIBUTES.match(page, at, first).end() == first:
+            return first
+        while at < len(page) and at not in self.dead:
+            seen.append(at)
+            part = _ATTRIBUTE.match(page, at)
+            at, quote = part.end(), part[2]
+            if part[1]:
+                return at - 1
+            if quote and at <= self.last[quote]:
+                at = page.find(quote, at) + 1
+            elif quote is not None:
+                at = _UNQUOTED.match(page, at).end()
+        self.dead.update(seen)
+        return first
 
 
 class Places:

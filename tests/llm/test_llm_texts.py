@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -283,6 +284,26 @@ def test_quotes_may_hold_tag_ends():
     assert [t[:2] for t in tokens('<a title="x > y">z</a>')] == [("open", "a"), ("text", "z"), ("close", "a")]
 
 
+@pytest.mark.parametrize("quote, other", ['"\'', "'\""])
+def test_quotes_may_hold_many_tag_ends(quote, other):
+    held = f"<ul class={other}menu{other}>" + "<li>menu</li>" * 20
+    page = f"<p data-content = {quote}{held}{quote} class=lead>one two</p>"
+    assert list(tokens(page)) == [("open", "p", (".lead",)), ("text", "one two", ()), ("close", "p", ())]
+    assert html_model().text(page) == "one two"
+
+
+@pytest.mark.parametrize("tag", ["<a b='c>", '<a b="c>', "<a don't>", "<a b=it's>", '<a b="1" c=\'d>', '<a b="c" d">', "<a b=c/>", "<a =>"])
+def test_quotes_that_open_no_value_or_never_close(tag):
+    assert [t[:2] for t in tokens(tag + "z</a>")] == [("open", "a"), ("text", "z"), ("close", "a")]
+
+
+@pytest.mark.parametrize("part", ['<a b=">" ', "<a b='>' ", "<a b=\">' ", '<a b=">', "<a b='\">", '<a "b=>" ', "<a = ' > ", '<a b="<a c=\'>'])
+def test_tag_ends_are_linear(part):
+    began = time.process_time()
+    assert sum(1 for _ in tokens(part * 30_000)) > 0
+    assert time.process_time() - began < 10
+
+
 # ---- licenses
 
 
