@@ -1,13 +1,14 @@
 """Language identification by nearest centroid over TF-IDF vectors of character n-grams.
 
 Texts are lower-cased, everything but letters is a blank, and n-grams of one to three characters are counted in
-hashed places. A bounded sample of labelled rows gives inverse document frequencies and, by spherical k-means,
-several centroids per language; a text takes the language of the centroid with the largest cosine. A text that is
+hashed places. A sample of labelled rows, bounded per language, gives inverse document frequencies and, by spherical
+k-means, several centroids per language; a text takes the language of the centroid with the largest cosine. A text that is
 far from all centroids, compared with the labelled rows and their own language, is rejected.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import cache
@@ -21,8 +22,8 @@ from pyspark.sql import functions as F
 from .common import table, unused
 
 PLACES, CENTROIDS, ROUNDS = 2048, 4, 12
-#: Bound on the labelled rows that the classifier is fitted on: those with the least hash of their id.
-FIT_ROWS = 3000
+#: Bound on the labelled rows of each language that the classifier is fitted on: those with the least hash.
+LANG_ROWS = 1000
 #: A text is rejected below this share of the smallest cosine that a labelled row has with its own language.
 REJECT_SHARE = 0.3
 UNKNOWN = "und"
@@ -113,25 +114,47 @@ def fit(labelled: list[tuple[str, np.ndarray]], k: int = CENTROIDS) -> Languages
 
 
 def fit_languages(
-    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS
+    labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", lang_rows: int = LANG_ROWS
 ) -> Languages:
-    """A model of at most ``fit_rows`` labelled rows; rows without id, language or letters are left out."""
+    """A model of the ``lang_rows`` labelled rows of each language with the least hash of id and text, or of all.
+
+    However few rows of a language there are among the others, it is learned. Rows without id, language or letters
+    are left out; rows of equal id, text and language count once. The driver holds the counts of the sampled rows,
+    8 KB each before they are packed.
+    """
     rows = labelled.select(
-        F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")
+        F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"),
+        F.col(text_col).alias("text"),
+        F.col(lang_col).cast("string").alias("lang"),
     ).where(F.col(id_col).isNotNull() & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    last = rows.select("h").orderBy("h").limit(fit_rows).agg(F.max("h")).first()[0]
-    if last is None:
-        return Languages()
+    # A cut of the hashes that leaves some more than are wanted, as the numbers are estimates; the driver cuts exactly.
+    wanted = 1.4 * lang_rows + 100
+    share = F.lit(wanted) / F.col("estimate")
+    cuts = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("estimate")).select(
+        "lang", F.when(share < 1, (share * 2.0**64 - 2.0**63).cast("long")).otherwise(2**63 - 1).alias("cut")
+    )
+    least = rows.join(F.broadcast(cuts), "lang").where(F.col("h") <= F.col("cut"))
+    least = least.groupBy("lang", "h").agg(F.min("text").alias("text"))
 
     def vectorise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [counts(t) for t in batch.column("text").to_pylist()]
-            packed = pa.array([None if f is None else f.astype("<u4").tobytes() for f in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("lang"), packed], ["lang", "counts"])
-
-    sample = rows.where(F.col("h") <= F.lit(last)).select("lang", "text").mapInArrow(vectorise, "lang string, counts binary")
-    found = [(r.lang, bytes(r.counts)) for r in sample.limit(fit_rows).collect() if r.counts]
-    return fit(sorted(((n, np.frombuffer(b, dtype="<u4")) for n, b in found), key=lambda x: (x[0], x[1].tobytes())))
+            packed = [None if f is None else zlib.compress(f.astype("<u4").tobytes(), 1) for f in found]
+            arrays = [batch.column("lang"), batch.column("h"), pa.array(packed, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["lang", "h", "counts"])
+
+    sample = least.select("lang", "h", "text").mapInArrow(vectorise, "lang string, h long, counts binary")
+    sampled: dict[str, list[tuple[int, bytes]]] = {}
+    for r in sample.collect():
+        if r.counts:
+            sampled.setdefault(r.lang, []).append((r.h, bytes(r.counts)))
+    return fit(
+        [
+            (name, np.frombuffer(zlib.decompress(packed), dtype="<u4"))
+            for name, held in sorted(sampled.items())
+            for _, packed in sorted(held)[:lang_rows]
+        ]
+    )
 
 
 def identify(docs: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:

@@ -17,6 +17,7 @@ from gablework.llm.pii import KINDS, LABELS, base_spans, labelled_chains, luhn,
 from gablework.llm.pii import trained as crf
 from gablework.llm.urls import ALLOWED, BLOCKED, RULES, judge_urls, parts
 from gablework.llm.urls import trained as url_model
+from pyspark.sql import functions as F
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -148,6 +149,17 @@ def test_language_edge_cases(spark):
     assert isinstance(nothing, Languages)
 
 
+def test_a_language_of_few_rows_among_very_many_is_learned(spark):
+    many = spark.range(60_000).select(F.col("id").alias("doc_id"), F.concat(F.lit("the river and the road "), "id").alias("text"), F.lit("en").alias("lang"))
+    copies = spark.range(20_000).select(F.lit(-5).cast("long"), F.lit("der Fluss und die Brücke"), F.lit("de"))
+    few = [(-1, "afon fawr yn y dyffryn", "cy"), (-2, "mae llwybr wrth yr afon", "cy"), (-3, "die Straße zum Meer", "de"), (-4, "ein langer Weg", "de")]
+    rare = spark.createDataFrame(few, "doc_id long, text string, lang string")
+    model = fit_languages(many.unionAll(copies).unionAll(rare))
+    assert set(model.names) == {"cy", "de", "en"}
+    judged = {r.doc_id: r for r in identify(rare, model).collect()}
+    assert all(judged[i].lang_pred == lang and not judged[i].rejected for i, _, lang in few)
+
+
 def test_texts_far_from_every_language_are_rejected(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = trained_on(docs)
