@@ -1,8 +1,9 @@
-"""N-gram Jaccard join over word shingles by a MinHash LSH forest.
+"""N-gram Jaccard join over word shingles by MinHash banding.
 
-Every text has one label per tree: the MinHash values along a path of the tree's prefix trie. Labels are cut from
-their full depth to the longest prefix whose expected recall at the threshold reaches the target, and texts that
-share a prefix in some tree are candidates. Candidates are verified on whole shingle sets. Equal sets are one node
+A tree is a band: its label is one hash of a fixed number of MinHash values, the most at which the expected recall at
+the threshold reaches the target, and texts of equal label in some tree are candidates. There is no LSH forest: no
+sorted signatures and no prefixes shortened by what matches, as the threshold is the same for all pairs and one depth
+gives each link the wanted recall. Candidates are verified on whole shingle sets. Equal sets are one node
 with a weight; nodes of one prefix are compared in blocks that give back, per node, its weighted number of links and
 one link towards a common root, never the pairs themselves. A pair is compared only in the first tree that holds it.
 """
@@ -35,7 +36,7 @@ def recall_at(depth: int, trees: int, similarity: float) -> float:
 
 
 def prefix_depth(trees: int, max_depth: int, similarity: float, recall: float) -> int:
-    """Shorten the prefixes step by step until pairs of the given similarity are found with the wanted recall."""
+    """The most values a label, one number for all texts, with the wanted recall at the given similarity."""
     depth = max_depth
     while depth > 1 and recall_at(depth, trees, similarity) < recall:
         depth -= 1
@@ -43,7 +44,7 @@ def prefix_depth(trees: int, max_depth: int, similarity: float, recall: float) -
 
 
 class Forest:
-    """Prefixes of a shingle set in every tree as 64-bit hashes, from depth MinHash values each."""
+    """Labels (prefixes of fixed depth) of a shingle set in every band, as hashes of depth MinHash values each."""
 
     def __init__(self, trees: int, depth: int, seed: int = 7):
         draw = np.random.default_rng(seed)
