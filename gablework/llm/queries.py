@@ -11,6 +11,7 @@ from .licenses import op8_license_scan
 from .line_dedup import LINES_SQL, op6_line_dedup
 from .packing import op5_best_fit_packing
 from .pii import op4_pii
+from .token_alignment import op11_token_alignment
 from .urls import op2_url_filter
 
 QUERIES = {
@@ -26,6 +27,7 @@ QUERIES = {
         op8_license_scan,
         op9_jaccard_join,
         op10_exact_dedup,
+        op11_token_alignment,
     )
 }
 ORACLES = {
