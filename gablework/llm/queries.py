@@ -9,6 +9,7 @@ from .jaccard_join import JACCARD_SQL, op9_jaccard_join
 from .language import op3_language
 from .licenses import op8_license_scan
 from .line_dedup import LINES_SQL, op6_line_dedup
+from .merkle import MERKLE_SQL, op12_merkle_manifest
 from .packing import op5_best_fit_packing
 from .pii import op4_pii
 from .token_alignment import op11_token_alignment
@@ -28,6 +29,7 @@ QUERIES = {
         op9_jaccard_join,
         op10_exact_dedup,
         op11_token_alignment,
+        op12_merkle_manifest,
     )
 }
 ORACLES = {
@@ -35,4 +37,5 @@ ORACLES = {
     "op7_decontaminate": DECONTAMINATE_SQL,
     "op9_jaccard_join": JACCARD_SQL,
     "op10_exact_dedup": EXACT_SQL,
+    "op12_merkle_manifest": MERKLE_SQL,
 }
