@@ -353,10 +353,11 @@ def manifest(docs: DataFrame, tampered: Column | None = None, levels: int = BUIL
         for batch in batches:
             for piece in batch.to_pylist():
                 paths = paths_of(piece, per, levels)
-                yield pa.RecordBatch.from_pydict({"tree": piece["own"], "subroot": piece["subroot"], "path": paths})
+                whole = [piece["tree"]] * len(paths)
+                yield pa.RecordBatch.from_pydict({"crown": whole, "tree": piece["own"], "subroot": piece["subroot"], "path": paths})
 
-    paths = crown.pieces.mapInArrow(descend, "tree long, subroot binary, path binary")
-    paths = paths.withColumn("all", F.lit(0).cast("long")).join(crown.roots.select(F.col("tree").alias("all"), F.col("root").alias("root_digest")), "all").drop("all")
+    root = stored(crown.roots.select(F.col("tree").alias("crown"), F.col("root").alias("root_digest")))
+    paths = crown.pieces.mapInArrow(descend, "crown long, tree long, subroot binary, path binary").join(root, "crown").drop("crown")
     return Manifest(forest, stored(paths.join(trees.withColumnRenamed("of", "source"), "tree")))
 
 

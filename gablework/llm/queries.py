@@ -7,6 +7,7 @@ from .exact_dedup import EXACT_SQL, op10_exact_dedup
 from .html_text import op1_main_text
 from .jaccard_join import JACCARD_SQL, op9_jaccard_join
 from .language import op3_language
+from .language_model import op13_language_model
 from .licenses import op8_license_scan
 from .line_dedup import LINES_SQL, op6_line_dedup
 from .merkle import MERKLE_SQL, op12_merkle_manifest
@@ -30,6 +31,7 @@ QUERIES = {
         op10_exact_dedup,
         op11_token_alignment,
         op12_merkle_manifest,
+        op13_language_model,
     )
 }
 ORACLES = {
