@@ -58,18 +58,19 @@ def one_row(schema: pa.Schema, values: dict) -> pa.RecordBatch:
 
 
 def looked_up(blocks: DataFrame, keys: str, table: DataFrame, columns: list[str]) -> DataFrame:
-    """The blocks with ``found``: an array of (pos, *columns) for the keys that the table has, in any order.
+    """The blocks with ``found``, an array of (pos, *columns) for the keys that the table has, in any order, and with
+    ``asked``, the number of their keys, in place of these.
 
     ``table`` has one row per ``key``. Each block asks once for each of its distinct keys.
     """
     asked = blocks.select("block", F.posexplode(keys).alias("pos", "key"))
     answers = asked.join(table, "key").groupBy("block").agg(F.collect_list(F.struct("pos", *columns)).alias("found"))
-    return blocks.join(answers, "block", "left")
+    return blocks.withColumn("asked", F.size(keys)).drop(keys).join(answers, "block", "left")
 
 
-def answers(found: pa.ListScalar, column: str, size: int, dtype: type) -> np.ndarray:
+def answers(row: dict, column: str, dtype: type) -> np.ndarray:
     """The values of one looked-up column by position; 0 where the table has no such key."""
-    out = np.zeros(size, dtype=dtype)
+    out, found = np.zeros(max(row["asked"].as_py(), 0), dtype=dtype), row["found"]
     if found.is_valid and len(found.values):
         pos = found.values.field("pos").to_numpy(zero_copy_only=False)
         out[pos] = found.values.field(column).to_numpy(zero_copy_only=False)
@@ -78,3 +79,23 @@ def answers(found: pa.ListScalar, column: str, size: int, dtype: type) -> np.nda
 
 def binary(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
+
+
+def compressed(values: np.ndarray) -> bytes:
+    """Smaller than what Spark's own compression makes of numbers in a shuffle; the element count comes first."""
+    raw = binary(values)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def numbers(value: pa.BinaryScalar, dtype: type) -> np.ndarray:
+    """What ``compressed`` was given."""
+    raw = value.as_buffer()
+    size = int.from_bytes(raw[:8].to_pybytes(), "little")
+    return np.frombuffer(pa.decompress(raw[8:], decompressed_size=size, codec="zstd"), dtype=dtype) if size else np.zeros(0, dtype=dtype)
+
+
+def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Each row as a dictionary of scalars."""
+    for batch in batches:
+        for i in range(len(batch)):
+            yield {name: batch.column(k)[i] for k, name in enumerate(batch.schema.names)}

@@ -31,7 +31,8 @@ LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 END, UNKNOWN, SPECIAL = 0, 1, 2
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 NEVER = -1e4
-CHUNK, SUMMED_AT_ONCE = 1 << 16, 64
+BLOCK_BYTES = 16 << 20
+CHUNK, SUMMED_AT_ONCE, ROWS_AT_ONCE = 1 << 16, 64, 2048
 
 
 @dataclass(frozen=True)
@@ -182,59 +183,72 @@ class Network:
             held |= {"embedded": embedded, "go_on": go_on}
         return states, held
 
-    def softmax(self, logits: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Log-probabilities of the chosen columns; ``logits`` becomes their exponentials, of the row sums returned."""
-        rows = np.arange(len(logits))
-        picked = logits[rows, chosen]
-        ones = np.ones(logits.shape[1], dtype=np.float32)
-        grown = np.exp(logits)
-        whole = grown @ ones
-        if not (whole.min() > 1e-30 and whole.max() < 1e30):  # far from 1: shift every row by its largest
-            peak = logits.max(1)
-            grown = np.exp(logits - peak[:, None])
-            whole = grown @ ones
-            picked = picked - peak
-        logits[:] = grown
-        return picked - np.log(whole), whole
+    @staticmethod
+    def softmax(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, chosen: np.ndarray, shift: bool = False) -> tuple:
+        """Log-probabilities of the chosen columns, and the exponentials of the logits with their row sums.
+
+        Without ``shift`` logits far from 0 may leave the range of the numbers; what is then returned is not finite.
+        """
+        logits = states @ weights
+        logits += bias
+        if shift:
+            logits -= logits.max(1, keepdims=True)
+        picked = logits[np.arange(len(logits)), chosen]
+        np.exp(logits, out=logits)
+        whole = logits @ np.ones(logits.shape[1], dtype=np.float32)
+        picked -= np.log(whole)
+        return picked, logits, whole
 
     def output(self, states: np.ndarray, targets: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """Natural log-probability of each target; with ``grads``, their gradients are added and those of the states given."""
-        w, s = self.w, self.shape
+        """Natural log-probability of each target; with ``grads``, their gradients are set and those of the states given."""
         order = np.argsort(targets, kind="stable")  # so that a class is one slice
-        states, targets = states[order], targets[order]
+        with np.errstate(all="ignore"):
+            found, back = self.sorted_output(states[order], targets[order], grads, False)
+        if not np.isfinite(found).all():
+            found, back = self.sorted_output(states[order], targets[order], grads, True)
+        logp = np.empty_like(found)
+        logp[order] = found
+        if grads is None:
+            return logp, None
+        placed = np.empty_like(back)
+        placed[order] = back
+        return logp, placed
+
+    def sorted_output(self, states: np.ndarray, targets: np.ndarray, grads: dict | None, shift: bool) -> tuple[np.ndarray, np.ndarray | None]:
+        w, s = self.w, self.shape
         kind, word = targets // s.class_words, targets % s.class_words
-        logits = states @ w["class_w"]
-        logits += w["class_b"]
-        found, whole = self.softmax(logits, kind)
-        back = None
+        found = np.empty(len(targets), dtype=np.float32)
+        back = None if grads is None else np.empty_like(states)
         if grads is not None:
-            logits *= (1.0 / whole)[:, None]
-            logits[np.arange(len(logits)), kind] -= 1.0
-            grads["class_w"] += states.T @ logits
-            grads["class_b"] += np.ones(len(logits), dtype=np.float32) @ logits
-            back = logits @ w["class_w"].T
+            grads["class_w"][:], grads["class_b"][:], grads["word_w"][:], grads["word_b"][:] = 0.0, 0.0, 0.0, 0.0
+
+        def one(part, weights, bias, chosen, grad_w, grad_b):
+            """One softmax over some rows, whose gradients are added to; returns log-probabilities and the states' gradients."""
+            inside, z, whole = self.softmax(part, weights, bias, chosen, shift)
+            if grad_w is None:
+                return inside, None
+            z *= (1.0 / whole)[:, None]
+            z[np.arange(len(z)), chosen] -= 1.0
+            grad_w += part.T @ z
+            grad_b += np.ones(len(z), dtype=np.float32) @ z
+            return inside, z @ weights.T
+
+        parts = (None, None) if grads is None else (grads["class_w"], grads["class_b"])
+        for at in range(0, len(targets), ROWS_AT_ONCE):
+            rows = slice(at, at + ROWS_AT_ONCE)
+            found[rows], d = one(states[rows], w["class_w"], w["class_b"], kind[rows], *parts)
+            if grads is not None:
+                back[rows] = d
         first = 0
         for c, last in enumerate(np.cumsum(np.bincount(kind, minlength=s.classes)).tolist()):
             if last > first:
-                part, chosen = states[first:last], word[first:last]
-                z = part @ w["word_w"][c]
-                z += w["word_b"][c]
-                inside, whole = self.softmax(z, chosen)
+                parts = (None, None) if grads is None else (grads["word_w"][c], grads["word_b"][c])
+                inside, d = one(states[first:last], w["word_w"][c], w["word_b"][c], word[first:last], *parts)
                 found[first:last] += inside
                 if grads is not None:
-                    z *= (1.0 / whole)[:, None]
-                    z[np.arange(len(z)), chosen] -= 1.0
-                    grads["word_w"][c] += part.T @ z
-                    grads["word_b"][c] += z.sum(0)
-                    back[first:last] += z @ w["word_w"][c].T
+                    back[first:last] += d
                 first = last
-        logp = np.empty_like(found)
-        logp[order] = found
-        if grads is not None:
-            placed = np.empty_like(back)
-            placed[order] = back
-            back = placed
-        return logp, back
+        return found, back
 
     def backward(self, held: dict, inputs: np.ndarray, d_states: np.ndarray, grads: dict) -> None:
         """Gradients of the recurrent part; none go back beyond the window's first step."""
@@ -346,28 +360,23 @@ READY = pa.schema(
         ("held_out", pa.list_(pa.bool_())),
         ("doc_words", pa.list_(pa.int32())),
         ("ids", pa.binary()),
+        ("n_words", pa.int64()),
+        ("learned", pa.int64()),
         ("n_known", pa.list_(pa.int64())),
         ("base_score", pa.list_(pa.float64())),
-        ("outside", pa.list_(pa.float64())),
-        ("learned", pa.int64()),
+        ("doc_rare", pa.list_(pa.int32())),
+        ("rare", pa.binary()),
+        ("rare_words", pa.list_(pa.binary())),
     ]
 )
 READY_DDL = (
-    "block long, doc_id array<long>, held_out array<boolean>, doc_words array<int>, ids binary, n_known array<long>, "
-    "base_score array<double>, outside array<double>, learned long"
-)
-RESULT = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("held_out", pa.bool_()),
-        ("n_tokens", pa.int64()),
-        ("n_known", pa.int64()),
-        ("train_tokens", pa.int64()),
-        ("base_score", pa.float64()),
-        ("score", pa.float64()),
-    ]
+    "block long, doc_id array<long>, held_out array<boolean>, doc_words array<int>, ids binary, n_words long, learned long, "
+    "n_known array<long>, base_score array<double>, doc_rare array<int>, rare binary, rare_words array<binary>"
 )
-RESULT_DDL = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+BASE = pa.schema([("block", pa.int64()), *[(n, pa.list_(k)) for n, k in (("n_known", pa.int64()), ("base_score", pa.float64()), ("outside", pa.float64()))]])
+BASE_DDL = "block long, n_known array<long>, base_score array<double>, outside array<double>"
+MODEL = pa.schema([("block", pa.int64()), *[(n, pa.list_(k)) for n, k in (("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("logp", pa.float64()))]])
+MODEL_DDL = "block long, doc_id array<long>, held_out array<boolean>, n_tokens array<long>, logp array<double>"
 
 
 def count_block(rows: pa.RecordBatch) -> dict:
@@ -407,6 +416,11 @@ class Corpus:
     ends: int
     vocabulary: list[tuple[bytes, int]]
 
+    @property
+    def whole(self) -> float:
+        """The logarithm that the base subtracts from that of every count."""
+        return float(np.log10(float(self.tokens + self.distinct + 1)))
+
     @property
     def outside(self) -> tuple[int, int]:
         """Tokens and different ones outside the vocabulary."""
@@ -422,65 +436,83 @@ class Corpus:
 
 
 def ready_block(row: dict, corpus: Corpus, place: dict[bytes, int]) -> dict:
+    """A block as the network reads it, with the base of the vocabulary's words and the places of all others."""
     words = row["words"].as_py()
-    counts = B.answers(row["found"], "n", len(words), np.int64)
     word = np.frombuffer(row["word"].as_buffer(), dtype=np.int32)
     lengths = row["doc_words"].values.to_numpy(zero_copy_only=False).astype(np.int64)
     held = row["held_out"].values.to_numpy(zero_copy_only=False).astype(bool)
     ids = np.array([place.get(w, UNKNOWN) for w in words], dtype=np.uint16)
-    whole = np.log10(float(corpus.tokens + corpus.distinct + 1))
-    base = np.log10(counts + 1.0) - whole
-    tokens, distinct = corpus.outside
-    share = np.where(ids == UNKNOWN, np.log10(counts + 1.0) - np.log10(float(tokens + distinct + 1)), 0.0)
+    counts = np.r_[np.zeros(SPECIAL), [n for _, n in corpus.vocabulary]]
+    known = ids != UNKNOWN
+    base = np.where(known, np.log10(counts[ids] + 1.0) - corpus.whole, 0.0)
+    rare = np.flatnonzero(~known)
+    number = np.zeros(len(words), dtype=np.int32)
+    number[rare] = np.arange(len(rare))
+    is_rare = ~known[word]
     return {
         "block": row["block"].as_py(),
         "doc_id": row["doc_id"].as_py(),
         "held_out": held,
         "doc_words": lengths.astype(np.int32),
-        "ids": B.binary(ids[word]),
-        "n_known": sums((counts > 0).astype(np.int64)[word], lengths) + (corpus.ends > 0),
-        "base_score": sums(base[word], lengths) + np.log10(corpus.ends + 1.0) - whole,
-        "outside": sums(share[word], lengths),
+        "ids": B.compressed(ids[word]),
+        "n_words": len(word),
         "learned": int((lengths + 1)[~held].sum()),
+        "n_known": sums(known.astype(np.int64)[word], lengths) + (corpus.ends > 0),
+        "base_score": sums(base[word], lengths) + np.log10(corpus.ends + 1.0) - corpus.whole,
+        "doc_rare": sums(is_rare.astype(np.int32), lengths),
+        "rare": B.compressed(number[word[is_rare]]),
+        "rare_words": [words[k] for k in rare.tolist()],
+    }
+
+
+def base_block(row: dict, corpus: Corpus) -> dict:
+    """The base with the words outside the vocabulary, and their share of the unknown word's probability."""
+    counts = B.answers(row, "n", np.int64)
+    rare = B.numbers(row["rare"], np.int32)
+    lengths = row["doc_rare"].values.to_numpy(zero_copy_only=False).astype(np.int64)
+    grown = np.log10(counts + 1.0)
+    share = np.log10(float(sum(corpus.outside) + 1))
+    return {
+        "block": row["block"].as_py(),
+        "n_known": row["n_known"].values.to_numpy() + sums((counts > 0).astype(np.int64)[rare], lengths),
+        "base_score": row["base_score"].values.to_numpy() + sums((grown - corpus.whole)[rare], lengths),
+        "outside": sums((grown - share)[rare], lengths),
     }
 
 
 @dataclass
 class Documents:
-    """Documents of some blocks: their columns, their words end to end, and the numbers of those."""
+    """Blocks set end to end: the words of all their documents and the numbers of those, with the blocks' rows."""
 
-    columns: dict[str, pa.Array]
+    rows: list[dict]
     ids: np.ndarray
     lengths: np.ndarray
+    held_out: np.ndarray
 
     def learned(self) -> tuple[np.ndarray, np.ndarray]:
         """Words and their numbers of those that are not held out."""
-        held = self.columns["held_out"].to_numpy(zero_copy_only=False).astype(bool)
-        return self.ids[np.repeat(~held, self.lengths)], self.lengths[~held]
+        return self.ids[np.repeat(~self.held_out, self.lengths)], self.lengths[~self.held_out]
 
 
 def pools(batches: Iterator[pa.RecordBatch], most_words: int) -> Iterator[Documents]:
     """Blocks joined until they have so many words."""
+
+    def pooled(held: list[dict]) -> Documents:
+        lists = [pa.concat_arrays([r[n].values for r in held]).to_numpy(zero_copy_only=False) for n in ("doc_words", "held_out")]
+        return Documents(held, np.concatenate([B.numbers(r["ids"], np.uint16) for r in held]), lists[0].astype(np.int64), lists[1].astype(bool))
+
     held: list[dict] = []
     words = 0
-    for batch in batches:
-        for i in range(len(batch)):
-            held.append({n: batch.column(n)[i] for n in batch.schema.names})
-            words += len(held[-1]["ids"].as_buffer()) // 2
-            if words >= most_words:
-                yield pooled(held)
-                held, words = [], 0
+    for row in B.rows(batches):
+        held.append(row)
+        words += row["n_words"].as_py()
+        if words >= most_words:
+            yield pooled(held)
+            held, words = [], 0
     if held:
         yield pooled(held)
 
 
-def pooled(rows: list[dict]) -> Documents:
-    lists = [n for n, v in rows[0].items() if pa.types.is_list(v.type)]
-    columns = {n: pa.concat_arrays([r[n].values for r in rows]) for n in lists}
-    ids = np.concatenate([np.frombuffer(r["ids"].as_buffer(), dtype=np.uint16) for r in rows])
-    return Documents(columns, ids, columns["doc_words"].to_numpy().astype(np.int64))
-
-
 WEIGHTS_DDL = "part long, chunk int, tokens long, weights binary"
 
 
@@ -517,7 +549,7 @@ def trained(ready: DataFrame, corpus: Corpus, shape: Shape) -> np.ndarray:
     replicas = max(1, -(-facts.tokens // (rounds * shape.replica_tokens)))
     step = -(-facts.blocks // (facts.last + 1))
     slot = F.pmod(F.shiftright("block", 32) * step + F.col("block").bitwiseAND(2**32 - 1), F.lit(rounds * replicas))
-    dealt = ready.select("block", "held_out", "doc_words", "ids", slot.alias("slot")).where("learned > 0")
+    dealt = ready.where("learned > 0").select("block", "held_out", "doc_words", "ids", "n_words", slot.alias("slot"))
     for k in range(rounds):
         start, start_squares = flat, squares
 
@@ -558,7 +590,7 @@ class Scored:
 
 
 def language_model(
-    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = None, block_bytes: int = B.BLOCK_BYTES
+    docs: DataFrame, held_out: Column, id_col: str = "doc_id", text_col: str = "text", shape: Shape | None = None, block_bytes: int = BLOCK_BYTES
 ) -> Scored:
     """Counts, trains and scores; rows marked ``held_out`` (null: not) are scored only.
 
@@ -586,25 +618,33 @@ def language_model(
     place = {w: i for i, (w, _) in enumerate(corpus.vocabulary, SPECIAL)}
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                yield B.one_row(READY, ready_block({n: batch.column(n)[i] for n in batch.schema.names}, corpus, place))
+        for row in B.rows(batches):
+            yield B.one_row(READY, ready_block(row, corpus, place))
+
+    def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in B.rows(batches):
+            yield B.one_row(BASE, base_block(row, corpus))
 
-    ready = stored(B.looked_up(rows.drop("word_n"), "words", counts, ["n"]).mapInArrow(prepare, READY_DDL), "zstd")
+    ready = stored(rows.drop("word_n").mapInArrow(prepare, READY_DDL), "zstd")
+    rare = B.looked_up(ready.select("block", "n_known", "base_score", "doc_rare", "rare", "rare_words"), "rare_words", counts, ["n"])
     weights = trained(ready, corpus, shape)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network = Network(shape, weights)
         for pool in pools(batches, shape.pool_words):
-            logp = network.score(pool.ids, pool.lengths) / np.log(10.0)
-            out = pool.columns | {
-                "n_tokens": pa.array(pool.lengths + 1),
-                "train_tokens": pa.array(np.full(len(logp), corpus.tokens, dtype=np.int64)),
-                "score": pa.array(logp + pool.columns["outside"].to_numpy()),
-            }
-            yield pa.RecordBatch.from_arrays([out[f.name] for f in RESULT], schema=RESULT)
-
-    documents = ready.drop("block", "learned").mapInArrow(score, RESULT_DDL)
+            logp, at = network.score(pool.ids, pool.lengths) / np.log(10.0), 0
+            for row in pool.rows:
+                n = len(row["doc_words"])
+                values = {"doc_id": row["doc_id"].as_py(), "held_out": row["held_out"].as_py(), "block": row["block"].as_py()}
+                yield B.one_row(MODEL, values | {"n_tokens": pool.lengths[at : at + n] + 1, "logp": logp[at : at + n]})
+                at += n
+
+    modelled = ready.select("block", "doc_id", "held_out", "doc_words", "ids", "n_words").mapInArrow(score, MODEL_DDL)
+    both = modelled.join(rare.mapInArrow(base, BASE_DDL), "block")
+    each = both.select(F.inline(F.arrays_zip("doc_id", "held_out", "n_tokens", "n_known", "base_score", "logp", "outside")))
+    documents = each.select(
+        "doc_id", "held_out", "n_tokens", "n_known", F.lit(corpus.tokens).cast("long").alias("train_tokens"), "base_score", (F.col("logp") + F.col("outside")).alias("score")
+    )
     return Scored(documents, corpus, shape, weights)
 
 

@@ -233,9 +233,9 @@ def align_block(pair: Pair, rows: pa.RecordBatch, vector: np.ndarray) -> dict:
         "doc_id": rows.column("doc_id").to_pylist(),
         "groups_sha256": [hashlib.sha256("".join(map(texts, x))[:-1].encode()).hexdigest() if x else "" for x in owned],
         "doc_chunks": doc_chunks,
-        "chunk": B.binary(chunk.astype(np.int32)),
-        "chunk_links": B.binary(chunks.n_links.astype(np.int32)),
-        "link": B.binary(link.astype(np.int32)),
+        "chunk": B.compressed(chunk.astype(np.int32)),
+        "chunk_links": B.compressed(chunks.n_links.astype(np.int32)),
+        "link": B.compressed(link.astype(np.int32)),
         "pairs": pairs,
         "pair_n": np.bincount(place, weights=link_times[odd], minlength=len(pairs)).astype(np.int64),
     }
@@ -249,9 +249,9 @@ SCORED_DDL = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_be
 
 def score_block(row: dict, count: np.ndarray, best: np.ndarray, same_count: np.ndarray, same_best: np.ndarray) -> pa.RecordBatch:
     """The rows of a block's documents, from the counts of its irregular pairs and those of the regular ones."""
-    chunk = np.frombuffer(row["chunk"].as_buffer(), dtype=np.int32)
-    link = np.frombuffer(row["link"].as_buffer(), dtype=np.int32)
-    chunk_links = np.frombuffer(row["chunk_links"].as_buffer(), dtype=np.int32)
+    chunk = B.numbers(row["chunk"], np.int32)
+    link = B.numbers(row["link"], np.int32)
+    chunk_links = B.numbers(row["chunk_links"], np.int32)
     spans = np.r_[0, np.cumsum(row["doc_chunks"].values.to_numpy(zero_copy_only=False), dtype=np.int64)]
     ends = np.r_[0, np.cumsum(chunk_links, dtype=np.int64)]
     regular = link < 0
@@ -300,11 +300,8 @@ def align(
             yield B.one_row(ALIGNED, {"block": -1, "regular": True, "pairs": pairs, "pair_n": vector[seen]})
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(len(batch)):
-                row = {name: batch.column(name)[i] for name in batch.schema.names}
-                size = len(row["pairs"])
-                yield score_block(row, B.answers(row["found"], "n", size, np.int64), B.answers(row["found"], "best", size, np.int64), same_count, same_best)
+        for row in B.rows(batches):
+            yield score_block(row, B.answers(row, "n", np.int64), B.answers(row, "best", np.int64), same_count, same_best)
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     rows = stored(texts.mapInArrow(count, ALIGNED_DDL), "zstd")
