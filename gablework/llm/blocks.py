@@ -54,17 +54,24 @@ def block_number(counter: int) -> int:
 
 def one_row(schema: pa.Schema, values: dict) -> pa.RecordBatch:
     """A batch of one row; lists become list columns."""
-    return pa.RecordBatch.from_arrays([pa.array([values.get(f.name)], type=f.type) for f in schema], schema=schema)
+
+    def column(value, kind: pa.DataType) -> pa.Array:
+        if isinstance(value, pa.Array):
+            return pa.ListArray.from_arrays(pa.array([0, len(value)], pa.int32()), value)
+        return pa.array([value], type=kind)
+
+    return pa.RecordBatch.from_arrays([column(values.get(f.name), f.type) for f in schema], schema=schema)
 
 
 def looked_up(blocks: DataFrame, keys: str, table: DataFrame, columns: list[str]) -> DataFrame:
     """The blocks with ``found``, an array of (pos, *columns) for the keys that the table has, in any order, and with
     ``asked``, the number of their keys, in place of these.
 
-    ``table`` has one row per ``key``. Each block asks once for each of its distinct keys.
+    ``table`` has one row per ``key``, so its partitions are even and small enough to be hashed instead of sorted.
+    Each block asks once for each of its distinct keys.
     """
     asked = blocks.select("block", F.posexplode(keys).alias("pos", "key"))
-    answers = asked.join(table, "key").groupBy("block").agg(F.collect_list(F.struct("pos", *columns)).alias("found"))
+    answers = asked.join(table.hint("shuffle_hash"), "key").groupBy("block").agg(F.collect_list(F.struct("pos", *columns)).alias("found"))
     return blocks.withColumn("asked", F.size(keys)).drop(keys).join(answers, "block", "left")
 
 

@@ -28,17 +28,17 @@ from . import blocks as B
 from .common import stored, table
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
-END, UNKNOWN, SPECIAL = 0, 1, 2
+END, UNKNOWN = 0, 1
 HELD_MODULUS, HELD_REMAINDER = 7, 2
 NEVER = -1e4
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 CHUNK, SUMMED_AT_ONCE, ROWS_AT_ONCE = 1 << 16, 64, 2048
 
 
 @dataclass(frozen=True)
 class Shape:
-    """The model's size and its training. The vocabulary has ``classes`` * ``class_words`` places, of which two are
-    the end and the unknown word; words of fewer than ``least_count`` occurrences or more than ``longest_word`` bytes
+    """The model's size and its training. The first class holds the end and the unknown word, all others
+    ``class_words`` words each; words of fewer than ``least_count`` occurrences or more than ``longest_word`` bytes
     count as unknown. Documents of some
     ``pool_words`` words run together in at most ``most_lanes`` lanes, ``spread`` times as many as would be as long
     as the longest document."""
@@ -48,8 +48,10 @@ class Shape:
     inner: int = 16
     embedding: int = 16
     window: int = 32
+    scored_window: int = 96
     least_lanes: int = 32
     most_lanes: int = 256
+    scored_lanes: int = 512
     spread: int = 1
     rate: float = 0.1
     rounds: int = 3
@@ -63,6 +65,10 @@ class Shape:
     def places(self) -> int:
         return self.classes * self.class_words
 
+    @property
+    def most_words(self) -> int:
+        return self.places - self.class_words
+
     def parts(self) -> dict[str, tuple[int, ...]]:
         h, d = self.inner, self.embedding
         return {
@@ -113,11 +119,11 @@ class Lanes:
     active: np.ndarray  # lanes per step
 
 
-def lanes_of(shape: Shape, ids: np.ndarray, lengths: np.ndarray) -> Lanes:
+def lanes_of(shape: Shape, ids: np.ndarray, lengths: np.ndarray, most: int) -> Lanes:
     """``ids`` holds the words of documents of the given lengths; each gets its end, and starts from an end's state."""
     sizes = lengths + 1
     total, longest = int(sizes.sum()), int(sizes.max())
-    count = min(len(sizes), max(shape.least_lanes, min(shape.most_lanes, shape.spread * total // longest)))
+    count = min(len(sizes), max(shape.least_lanes, min(most, shape.spread * total // longest)))
     heap = [(0, k) for k in range(count)]
     held: list[list[int]] = [[] for _ in range(count)]
     for doc in np.argsort(-sizes, kind="stable").tolist():
@@ -150,6 +156,8 @@ class Network:
 
     def __init__(self, shape: Shape, flat: np.ndarray):
         self.shape, self.w = shape, views(shape, flat)
+        widths = (self.w["word_b"] > NEVER).sum(1)  # the words of a class come first, then its free places
+        self.widths = np.maximum(widths, 1).tolist()
 
     def forward(self, inputs: np.ndarray, starts: np.ndarray, state: np.ndarray, keep: bool) -> tuple[np.ndarray, dict]:
         """The states after every step; with ``keep``, also what their gradients need."""
@@ -242,8 +250,9 @@ class Network:
         first = 0
         for c, last in enumerate(np.cumsum(np.bincount(kind, minlength=s.classes)).tolist()):
             if last > first:
-                parts = (None, None) if grads is None else (grads["word_w"][c], grads["word_b"][c])
-                inside, d = one(states[first:last], w["word_w"][c], w["word_b"][c], word[first:last], *parts)
+                n = self.widths[c]
+                parts = (None, None) if grads is None else (grads["word_w"][c, :, :n], grads["word_b"][c, :n])
+                inside, d = one(states[first:last], w["word_w"][c, :, :n], w["word_b"][c, :n], word[first:last], *parts)
                 found[first:last] += inside
                 if grads is not None:
                     back[first:last] += d
@@ -285,16 +294,17 @@ class Network:
         ids, first = np.unique(used[order], return_index=True)
         grads["embed"][ids] += np.add.reduceat(d_embedded[order], first, axis=0)
 
-    def windows(self, lanes: Lanes) -> Iterator[tuple[slice, int]]:
-        for start in range(0, len(lanes.active), self.shape.window):
-            yield slice(start, start + self.shape.window), int(lanes.active[start])
+    @staticmethod
+    def windows(lanes: Lanes, steps: int) -> Iterator[tuple[slice, int]]:
+        for start in range(0, len(lanes.active), steps):
+            yield slice(start, start + steps), int(lanes.active[start])
 
     def score(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
         """Natural log-probability of each document, its end included."""
-        lanes = lanes_of(self.shape, ids, lengths)
+        lanes = lanes_of(self.shape, ids, lengths, self.shape.scored_lanes)
         sums = np.zeros(len(lengths))
         state = np.zeros((lanes.targets.shape[1], self.shape.inner), dtype=np.float32)
-        for at, width in self.windows(lanes):
+        for at, width in self.windows(lanes, self.shape.scored_window):
             states, _ = self.forward(lanes.inputs[at, :width], lanes.starts[at, :width], state[:width], False)
             state = states[-1]
             targets = lanes.targets[at, :width].reshape(-1)
@@ -315,9 +325,9 @@ class Trainer:
 
     def learn(self, ids: np.ndarray, lengths: np.ndarray) -> float:
         """One pass over the documents; the sum of log-probabilities met on the way."""
-        lanes, net, total = lanes_of(self.shape, ids, lengths), self.network, 0.0
+        lanes, net, total = lanes_of(self.shape, ids, lengths, self.shape.most_lanes), self.network, 0.0
         state = np.zeros((lanes.targets.shape[1], self.shape.inner), dtype=np.float32)
-        for at, width in net.windows(lanes):
+        for at, width in net.windows(lanes, self.shape.window):
             inputs = lanes.inputs[at, :width]
             states, held = net.forward(inputs, lanes.starts[at, :width], state[:width], True)
             state = states[-1]
@@ -348,11 +358,10 @@ COUNTED = pa.schema(
         ("held_out", pa.list_(pa.bool_())),
         ("doc_words", pa.list_(pa.int32())),
         ("word", pa.binary()),
-        ("words", pa.list_(pa.binary())),
-        ("word_n", pa.list_(pa.int64())),
+        ("words", pa.list_(pa.struct([("key", pa.binary()), ("n", pa.int64())]))),
     ]
 )
-COUNTED_DDL = "block long, doc_id array<long>, held_out array<boolean>, doc_words array<int>, word binary, words array<binary>, word_n array<long>"
+COUNTED_DDL = "block long, doc_id array<long>, held_out array<boolean>, doc_words array<int>, word binary, words array<struct<key: binary, n: long>>"
 READY = pa.schema(
     [
         ("block", pa.int64()),
@@ -383,18 +392,18 @@ def count_block(rows: pa.RecordBatch) -> dict:
     """A block's words, each once, with their number in its training documents."""
     number: dict[bytes, int] = {}
     owned = []
-    for text in rows.column("text").to_pylist():
-        owned.append([number.setdefault(w, len(number)) for w in text.encode().translate(LOWER).split()])
+    for text in rows.column("text").cast(pa.binary()).to_pylist():
+        owned.append([number.setdefault(w, len(number)) for w in text.translate(LOWER).split()])
     lengths = np.array([len(x) for x in owned], dtype=np.int64)
     word = np.fromiter(chain.from_iterable(owned), dtype=np.int32, count=int(lengths.sum()))
     held = rows.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
+    counts = np.bincount(word[np.repeat(~held, lengths)], minlength=len(number)).astype(np.int64)
     return {
         "doc_id": rows.column("doc_id").to_pylist(),
         "held_out": held,
         "doc_words": lengths.astype(np.int32),
         "word": B.binary(word),
-        "words": list(number),
-        "word_n": np.bincount(word[np.repeat(~held, lengths)], minlength=len(number)),
+        "words": pa.StructArray.from_arrays([pa.array(list(number), pa.binary()), pa.array(counts)], ["key", "n"]),
     }
 
 
@@ -431,18 +440,18 @@ class Corpus:
         """Per place its count; -1 where no word is."""
         out = np.full(shape.places, -1.0)
         out[END], out[UNKNOWN] = self.ends, sum(self.outside)  # with one more for each, the base's own shares
-        out[SPECIAL : SPECIAL + len(self.vocabulary)] = [n for _, n in self.vocabulary]
+        out[shape.class_words : shape.class_words + len(self.vocabulary)] = [n for _, n in self.vocabulary]
         return out
 
 
-def ready_block(row: dict, corpus: Corpus, place: dict[bytes, int]) -> dict:
+def ready_block(row: dict, corpus: Corpus, place: dict[bytes, int], shape: Shape) -> dict:
     """A block as the network reads it, with the base of the vocabulary's words and the places of all others."""
-    words = row["words"].as_py()
+    words = row["words"].values.field("key").to_pylist()
     word = np.frombuffer(row["word"].as_buffer(), dtype=np.int32)
     lengths = row["doc_words"].values.to_numpy(zero_copy_only=False).astype(np.int64)
     held = row["held_out"].values.to_numpy(zero_copy_only=False).astype(bool)
     ids = np.array([place.get(w, UNKNOWN) for w in words], dtype=np.uint16)
-    counts = np.r_[np.zeros(SPECIAL), [n for _, n in corpus.vocabulary]]
+    counts = np.maximum(corpus.place_counts(shape), 0.0)
     known = ids != UNKNOWN
     base = np.where(known, np.log10(counts[ids] + 1.0) - corpus.whole, 0.0)
     rare = np.flatnonzero(~known)
@@ -608,24 +617,23 @@ def language_model(
         F.col(id_col).cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text")
     )
     rows = stored(texts.mapInArrow(count, COUNTED_DDL), "zstd")
-    pairs = rows.select(F.explode(F.arrays_zip("words", "word_n")).alias("p")).where(F.col("p.word_n") > 0)
-    counts = stored(pairs.groupBy(F.col("p.words").alias("key")).agg(F.sum("p.word_n").alias("n")))
+    counts = stored(rows.select(F.inline("words")).where(F.col("n") > 0).groupBy("key").agg(F.sum("n").alias("n")))
     facts = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.count("*").alias("distinct")).first()
     ends = rows.agg(F.coalesce(F.sum(F.size(F.filter("held_out", lambda x: ~x))), F.lit(0))).first()[0]
     fit = counts.where((F.octet_length("key") <= shape.longest_word) & (F.col("n") >= shape.least_count))
-    most = fit.orderBy(F.desc("n"), "key").limit(shape.places - SPECIAL).collect()
+    most = fit.orderBy(F.desc("n"), "key").limit(shape.most_words).collect()
     corpus = Corpus(facts.tokens + ends, facts.distinct + (ends > 0), ends, [(bytes(r.key), r.n) for r in most])
-    place = {w: i for i, (w, _) in enumerate(corpus.vocabulary, SPECIAL)}
+    place = {w: i for i, (w, _) in enumerate(corpus.vocabulary, shape.class_words)}
 
     def prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows(batches):
-            yield B.one_row(READY, ready_block(row, corpus, place))
+            yield B.one_row(READY, ready_block(row, corpus, place, shape))
 
     def base(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in B.rows(batches):
             yield B.one_row(BASE, base_block(row, corpus))
 
-    ready = stored(rows.drop("word_n").mapInArrow(prepare, READY_DDL), "zstd")
+    ready = stored(rows.mapInArrow(prepare, READY_DDL), "zstd")
     rare = B.looked_up(ready.select("block", "n_known", "base_score", "doc_rare", "rare", "rare_words"), "rare_words", counts, ["n"])
     weights = trained(ready, corpus, shape)
 

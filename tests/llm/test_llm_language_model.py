@@ -24,7 +24,7 @@ from gablework.llm.language_model import (
 )
 from pyspark.sql import functions as F
 
-SMALL = Shape(classes=4, class_words=5, inner=6, embedding=5, window=7, least_lanes=2, most_lanes=3, rounds=2, replica_tokens=300, pool_words=200, least_count=3)
+SMALL = Shape(classes=4, class_words=5, inner=6, embedding=5, window=7, scored_window=9, least_lanes=2, most_lanes=3, scored_lanes=4, rounds=2, replica_tokens=300, pool_words=200, least_count=3)
 
 
 def words_of(text):
@@ -72,10 +72,21 @@ def test_probabilities_of_the_next_word_sum_to_one():
 
 
 def test_large_logits_stay_exact():
-    net = Network(SMALL, weights(SMALL))
-    z = np.array([[300.0, 299.0, -300.0], [-400.0, -401.0, -402.0]], dtype=np.float32)
-    logp, _ = net.softmax(z.copy(), np.array([1, 0]))
-    assert np.allclose(logp, [-np.log1p(np.exp(1.0)), -np.log(1 + np.exp(-1.0) + np.exp(-2.0))], rtol=1e-5)
+    """Beyond the range of exponentials in single precision, log-probabilities and gradients are still right."""
+    flat = weights(SMALL)
+    views(SMALL, flat)["class_w"][:] *= 300
+    views(SMALL, flat)["word_w"][:] *= 300
+    net, draw = Network(SMALL, flat), np.random.default_rng(6)
+    states, targets = draw.normal(size=(30, SMALL.inner)).astype(np.float32), draw.integers(0, SMALL.places, 30)
+    grads = views(SMALL, np.zeros_like(flat))
+    logp, back = net.output(states, targets, grads)
+    w = {n: v.astype(float) for n, v in views(SMALL, flat).items()}
+    for state, target, found in zip(states.astype(float), targets, logp):
+        kind, word = divmod(int(target), SMALL.class_words)
+        kinds, inside = state @ w["class_w"] + w["class_b"], state @ w["word_w"][kind] + w["word_b"][kind]
+        exact = kinds[kind] - np.logaddexp.reduce(kinds) + inside[word] - np.logaddexp.reduce(inside)
+        assert np.isclose(found, exact, rtol=1e-4, atol=1e-3)
+    assert np.isfinite(back).all() and all(np.isfinite(g).all() for g in grads.values())
 
 
 def test_gradients_match_differences():
@@ -97,7 +108,7 @@ def test_gradients_match_differences():
 def test_first_weights_give_the_base():
     corpus = Corpus(100, 20, 10, [(b"a", 30), (b"b", 20)])
     net = Network(SMALL, first_weights(SMALL, corpus.place_counts(SMALL)))
-    logp, _ = net.output(np.zeros((4, SMALL.inner), dtype=np.float32), np.arange(4))
+    logp, _ = net.output(np.zeros((4, SMALL.inner), dtype=np.float32), np.array([0, 1, 5, 6]))
     assert np.allclose(np.exp(logp), np.array([11, 58, 31, 21]) / 121, rtol=1e-5)
 
 
@@ -138,9 +149,9 @@ def test_rows_match_plain_python(spark, block_bytes):
     found = made.documents.collect()
     same_base(found, expected)
     # Scores: every word by the weights that were learned, unknown ones with their share of the rest.
-    vocabulary = sorted(((-n, w) for w, n in words.items() if len(w) <= 64 and n >= 3))[: SMALL.places - 2]
+    vocabulary = sorted(((-n, w) for w, n in words.items() if len(w) <= 64 and n >= 3))[: SMALL.most_words]
     assert made.corpus.vocabulary == [(w, -n) for n, w in vocabulary]
-    place = {w: k for k, (_, w) in enumerate(vocabulary, 2)}
+    place = {w: k for k, (_, w) in enumerate(vocabulary, SMALL.class_words)}
     rest = sum(n for w, n in words.items() if w not in place) + sum(w not in place for w in words) + 1
     scores = []
     for i, text in rows:
