@@ -43,11 +43,11 @@ class Shape:
     ``pool_words`` words run together in at most ``most_lanes`` lanes, ``spread`` times as many as would be as long
     as the longest document."""
 
-    classes: int = 64
+    classes: int = 32
     class_words: int = 64
     inner: int = 16
     embedding: int = 16
-    window: int = 32
+    window: int = 48
     scored_window: int = 96
     least_lanes: int = 32
     most_lanes: int = 256
