@@ -76,6 +76,8 @@ BOOST_DEPTH = 8
 BOOST_RATE = 0.06
 BOOST_ROUNDS = 250
 BOOST_LEAF_ROWS = 20
+BOOST_LEAVES = 31
+BOOST_JUDGE_ROWS = 10_000
 SEED = 42
 TEST_SHARE = 0.2
 MIN_TRAIN_ROWS = 200

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -750,53 +751,101 @@ def design_matrix(spark, d):
     return entries.withColumn("value", F.round("value", 6))
 
 
-# The model's own settings; fits take at most this many labelled rows.
-QUERY_SETTINGS = training.Settings(fit_rows=10_000)
-_FITTED: dict[tuple[str, str], tuple[training.TrainResult, DataFrame]] = {}
+SETTINGS = training.Settings()
+_PREPARED: dict[tuple[str, str], tuple[DataFrame, training.Fit]] = {}
 
 
-def fitted(spark, d) -> tuple[training.TrainResult, DataFrame]:
-    """The model and its training table, made once per session and data set for all queries below."""
+def prepared(spark, d) -> tuple[DataFrame, training.Fit]:
+    """The marked candidates and their fit, made once per session and data set; each regression fits when it is asked for."""
     key = (spark.sparkContext.applicationId, d)
-    if key not in _FITTED:
-        table = training_table(spark, d)
-        _FITTED[key] = training.train(table, QUERY_SETTINGS), table
-    return _FITTED[key]
+    if key not in _PREPARED:
+        marked = cut_lineage(training.split(training_table(spark, d), SETTINGS, "url"))
+        _PREPARED[key] = marked, training.prepare(marked.where("not is_test").drop("is_test"), SETTINGS)
+    return _PREPARED[key]
 
 
-def _held_out(spark, d, column: str) -> DataFrame:
-    """Metrics in log space over the rows that the fit has not seen."""
-    return evaluate.regression_metrics(fitted(spark, d)[0].held_out, F.log1p(fixed.TARGET), F.col(column))
+def whole_model(spark, d) -> training.PriceModel:
+    fit = prepared(spark, d)[1]
+    return training.PriceModel(fit.design, fit.ridge(), fit.boosted())
 
 
 @query
 def ridge_fit(spark, d):
-    return _held_out(spark, d, "ridge_log")
+    """For every design column its covariance with the log price, and what the optimality condition leaves of the
+    ridge: the gradient of its objective over the largest that zero weights have. That is 0 at the optimum alone."""
+    fit = prepared(spark, d)[1]
+    ridge = fit.ridge()
+    left = np.abs(ridge.gradient) / max(float(np.abs(ridge.start).max()), 1e-300)
+    rows = [(i, float(a), float(b)) for i, (a, b) in enumerate(zip(ridge.start / ridge.rows, left))]
+    both = fit.design.names().join(spark.createDataFrame(rows, "column int, covariance double, gradient double"), "column")
+    return both.select("feature", *[(F.round(c, 6) + 0.0).alias(c) for c in ("covariance", "gradient")])
+
+
+@query
+def ridge_metrics(spark, d):
+    """Metrics of the ridge in log space over the rows that the fit has not seen."""
+    marked, fit = prepared(spark, d)
+    scored = training.PriceModel(fit.design, ridge=fit.ridge()).transform(marked.where("is_test"))
+    return evaluate.regression_metrics(scored, F.log1p(fixed.TARGET), F.col("ridge_log"))
 
 
 @query
 def gbt_fit(spark, d):
-    return _held_out(spark, d, "boost_log")
+    """Metrics of the boosted trees in log space over the rows that the fit has not seen."""
+    marked, fit = prepared(spark, d)
+    scored = training.PriceModel(fit.design, boosted=fit.boosted()).transform(marked.where("is_test"))
+    return evaluate.regression_metrics(scored, F.log1p(fixed.TARGET), F.col("boost_log"))
+
+
+@query
+def gbt_shape(spark, d):
+    """Whether the trees keep to their limits: depth, leaves, rows in a leaf, and better than the mean price by squared
+    error on the rows that they were fitted to."""
+    marked, fit = prepared(spark, d)
+    boosted = fit.boosted()
+    scored = training.PriceModel(fit.design, boosted=boosted).transform(marked.where("not is_test"))
+    log = F.log1p(fixed.TARGET)
+    error = scored.agg(F.count("*").alias("rows"), F.avg((log - F.col("boost_log")) ** 2).alias("error"), F.var_pop(log).alias("spread")).first()
+    rows = [
+        ("fitted_rows", float(error.rows), True),
+        ("rounds", float(SETTINGS.boost_rounds), 0 < len(boosted.trees) <= SETTINGS.boost_rounds),
+        ("depth", float(SETTINGS.boost_depth), max(t.depth() for t in boosted.trees) <= SETTINGS.boost_depth),
+        ("leaves", float(SETTINGS.boost_leaves), max(t.leaves for t in boosted.trees) <= SETTINGS.boost_leaves),
+        ("leaf_rows", float(fixed.BOOST_LEAF_ROWS), min(boosted.leaf_rows) >= fixed.BOOST_LEAF_ROWS),
+        ("below_mean_error", 1.0, error.error < error.spread),
+    ]
+    return spark.createDataFrame(rows, "measure string, value double, kept boolean")
 
 
 @query
 def ensemble_score(spark, d):
-    result, table = fitted(spark, d)
-    scored = result.model.transform(table)
+    marked, _ = prepared(spark, d)
+    scored = whole_model(spark, d).transform(marked)
     return scored.select("url", "ridge_log", "boost_log", fixed.TARGET, "predicted_price_vnd")
 
 
+@query
+def ensemble_vote(spark, d):
+    """Per candidate, how far its price is from the vote of its logged predictions: their mean, taken back from logs,
+    and the same in billions to four places."""
+    scored = whole_model(spark, d).transform(prepared(spark, d)[0])
+    voted = F.exp((F.col("ridge_log") + F.col("boost_log")) / 2) - 1
+    gap = F.round(F.abs(F.col("predicted_price_vnd") / voted - 1), 6)
+    billions = F.col("predicted_price_billion_vnd") - F.col("predicted_price_vnd") / 1e9
+    return scored.select("url", fixed.TARGET, gap.alias("gap"), (F.abs(billions) <= 0.0000501).alias("billions_right"))
+
+
 @query
 def scored_listings(spark, d):
     """Predictions for every stored listing, priced or not."""
-    scored = fitted(spark, d)[0].model.transform(current_features(spark, d))
+    scored = whole_model(spark, d).transform(current_features(spark, d))
     return scored.select("url", "price_vnd", "predicted_price_vnd", "predicted_price_billion_vnd")
 
 
 @query
 def batch_score_summary(spark, d):
     renamed = requests(spark, d).withColumnsRenamed({"direction_text": "direction", "legal_text": "legal"})
-    return training.batch_summary(training.score_batch(renamed, fitted(spark, d)[0].model))
+    return training.batch_summary(training.score_batch(renamed, whole_model(spark, d)))
 
 
 # Metrics and alerts
