@@ -118,6 +118,16 @@ RUNS_FAILED = "trainer_runs_failed_total"
 LAST_RUN = "trainer_last_run_timestamp_seconds"
 LAST_SUCCESS = "trainer_last_success_timestamp_seconds"
 
+# Alert rules, fixed values: alert, severity, what is measured, metric, second metric, comparator, limit, window, hold.
+ALERT_RULES = [
+    ("HighProcessingErrorRate", "critical", "share", FAILED, CONSUMED, ">", 0.05, 300.0, 300.0),
+    ("HighKafkaConsumerLag", "warning", "value", LAG, None, ">", 1000.0, 0.0, 300.0),
+    ("ProcessingDurationAnomaly", "warning", "mean", DURATION_SUM, DURATION_COUNT, ">", 5.0, 300.0, 300.0),
+    ("ModelTrainingFailed", "warning", "increase", RUNS_FAILED, None, ">", 0.0, 3600.0, 600.0),
+    ("ModelTrainingStale", "warning", "age", LAST_SUCCESS, None, ">", 43200.0, 0.0, 900.0),
+    ("DatabaseWriteFailures", "critical", "rate", WRITES_FAILED, None, ">", 0.0, 300.0, 300.0),
+]
+
 # Error code ranges (first, last, family).
 ERROR_FAMILIES = [
     (1, 99, "Scraper network errors"),
