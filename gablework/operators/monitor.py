@@ -106,12 +106,20 @@ def histogram(df: DataFrame, value: Column, bounds: list[float], group: str | No
     return df.groupBy(group).agg(*aggregates) if group else df.agg(*aggregates)
 
 
-def threshold_alerts(latest: DataFrame, rules: DataFrame) -> DataFrame:
-    """Latest values against a small table of rules (name, comparator, threshold, severity)."""
-    above = (F.col("comparator") == ">") & (F.col("value") > F.col("threshold"))
-    below = (F.col("comparator") == "<") & (F.col("value") < F.col("threshold"))
-    equal = (F.col("comparator") == "=") & (F.col("value") == F.col("threshold"))
-    return latest.join(rules, "name").withColumn("breached", above | below | equal)
+def threshold_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
+    """Every series against a small table of rules (name, comparator, threshold, hold, severity), as of its last sample:
+    value, breached, since when without a break, and state: inactive, pending, or firing after ``hold`` seconds."""
+    value, threshold = F.col("value"), F.col("threshold")
+    broken = (
+        ((F.col("comparator") == ">") & (value > threshold))
+        | ((F.col("comparator") == "<") & (value < threshold))
+        | ((F.col("comparator") == "=") & (value == threshold))
+    )
+    judged = samples.join(rules, "name").withColumn("breached", F.coalesce(broken, F.lit(False)))
+    rule = ["instance", "name", "comparator", "threshold", "hold", "severity"]
+    states = firing(judged, rule, F.col("breached"), F.col("hold"))
+    last = F.max_by(F.struct("value", "breached", "since", "state"), "ts").alias("_last")
+    return states.groupBy(*rule).agg(last, F.max("ts").alias("ts")).select(*rule, "ts", "_last.*")
 
 
 def families_of(codes: DataFrame, code: str, families: DataFrame) -> DataFrame:

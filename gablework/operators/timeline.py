@@ -86,12 +86,12 @@ def held_since(df: DataFrame, series: list[str], condition: Column, ts: str = "t
     )
 
 
-def firing(df: DataFrame, series: list[str], condition: Column, hold: float, ts: str = "ts", chunk: float = 3600) -> DataFrame:
+def firing(df: DataFrame, series: list[str], condition: Column, hold: float | Column, ts: str = "ts", chunk: float = 3600) -> DataFrame:
     """Add ``since`` and ``state``: inactive, pending, or firing once the condition has held for ``hold`` seconds."""
     rows = held_since(df, series, condition, ts, chunk)
     state = (
         F.when(F.col("since").isNull(), "inactive")
-        .when(F.col(ts) - F.col("since") >= float(hold), "firing")
+        .when(F.col(ts) - F.col("since") >= (hold if isinstance(hold, Column) else float(hold)), "firing")
         .otherwise("pending")
     )
     return rows.withColumn("state", state)

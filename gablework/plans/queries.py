@@ -917,19 +917,21 @@ def latency_percentiles(spark, d):
     return spark.createDataFrame(rows, "event_type string, p50 double, p95 double, p99 double")
 
 
+# Metric, comparator, limit, seconds that it must hold, severity.
 THRESHOLD_RULES = [
-    (fixed.R2, "<", 0.75, "HIGH"),
-    (fixed.MAE, ">", 500e6, "HIGH"),
-    (fixed.LAG, ">", 1000.0, "MEDIUM"),
-    (fixed.SAMPLES, "<", 5000.0, "HIGH"),
-    (fixed.RUNS_FAILED, "=", 3.0, "CRITICAL"),
+    (fixed.R2, "<", 0.75, 0.0, "HIGH"),
+    (fixed.MAE, ">", 500e6, 0.0, "HIGH"),
+    (fixed.LAG, ">", 1000.0, 600.0, "MEDIUM"),
+    (fixed.SAMPLES, "<", 5000.0, 3600.0, "HIGH"),
+    (fixed.RUNS_FAILED, "=", 3.0, 900.0, "CRITICAL"),
 ]
 
 
 @query
 def threshold_alerts(spark, d):
-    rules = spark.createDataFrame(THRESHOLD_RULES, "name string, comparator string, threshold double, severity string")
-    return monitor.threshold_alerts(monitor.latest_values(tables.metric_samples(spark, d)), rules)
+    schema = "name string, comparator string, threshold double, hold double, severity string"
+    rules = spark.createDataFrame(THRESHOLD_RULES, schema)
+    return monitor.threshold_alerts(tables.metric_samples(spark, d, [r[0] for r in THRESHOLD_RULES]), rules)
 
 
 STAGE_LIMITS = [("signup", 2.0, 5.0), ("click", 1.0, 2.0), ("view", 0.5, 1.0), ("error", 0.1, 0.5), ("purchase", 0.1, 0.5)]
