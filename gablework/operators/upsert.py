@@ -18,23 +18,27 @@ def latest_by_key(df: DataFrame, keys: list[str], order: list[str], drop_order:
     return df.groupBy(*keys).agg(last).select(*keys, *[F.col(f"_last.`{name}`").alias(name) for name in kept])
 
 
-def latest_branches(validated: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+def latest_branches(
+    validated: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None, only: str | None = None
+) -> DataFrame:
     """Last valid and last rejected version per key in one aggregation: (keys, valid STRUCT, invalid STRUCT).
 
     Validity decides which order values take part instead of filtering first: a filter would be pushed below
-    the normalisation and repeat it.
+    the normalisation and repeat it. The structs travel through the shuffle, so name the ``columns`` that are read
+    later, and the ``only`` branch if it is one: all else is then neither computed nor sent.
     """
     kept = [name for name in validated.columns if name not in keys and name not in order]
+    if columns is not None:
+        kept = [name for name in kept if name in columns]
     ok = F.size("validation_errors") == 0
-    position, row = F.struct(*order), F.struct(*kept)
-    return validated.groupBy(*keys).agg(
-        F.max_by(row, F.when(ok, position)).alias("valid"), F.max_by(row, F.when(~ok, position)).alias("invalid")
-    )
+    position, row = F.struct(*order), F.struct(*kept) if kept else F.struct(F.lit(True).alias("_"))
+    picks = {"valid": F.when(ok, position), "invalid": F.when(~ok, position)}
+    return validated.groupBy(*keys).agg(*[F.max_by(row, at).alias(name) for name, at in picks.items() if only in (None, name)])
 
 
 def branch(branches: DataFrame, keys: list[str], name: str) -> DataFrame:
     """One branch ("valid" or "invalid") of ``latest_branches`` as a flat table."""
-    rows = branches.where(F.col(name).isNotNull()).select(*keys, f"{name}.*")
+    rows = branches.where(F.col(name).isNotNull()).select(*keys, f"{name}.*").drop("_")
     return rows.drop("validation_errors") if name == "valid" else rows
 
 

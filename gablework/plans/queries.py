@@ -33,6 +33,9 @@ ARRIVAL = tables.LINEITEM_ARRIVAL
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
 
+# What the quality reports read of a listing.
+REPORTED = ["property_type", "province_slug", "is_model_candidate", "price_vnd"]
+
 # Selectors that fit the given pages, which have no listing cards or specification tables.
 NAV_LINKS = {"container": "nav", "cards": ["li"], "link": "a"}
 PAGE_PARTS = {
@@ -64,17 +67,17 @@ def validated(spark: SparkSession, d: str) -> DataFrame:
     return validate(listings(spark, d))
 
 
-def branches(spark: SparkSession, d: str) -> DataFrame:
-    return upsert.latest_branches(validated(spark, d), ["url"], ARRIVAL)
+def branches(spark: SparkSession, d: str, columns: list[str] | None = None, only: str | None = None) -> DataFrame:
+    return upsert.latest_branches(validated(spark, d), ["url"], ARRIVAL, columns, only)
 
 
-def current_features(spark: SparkSession, d: str) -> DataFrame:
-    """The stored feature table: last valid version per url."""
-    return upsert.branch(branches(spark, d), ["url"], "valid")
+def current_features(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """The stored feature table: last valid version per url, with these columns or all."""
+    return upsert.branch(branches(spark, d, list(columns) or None, "valid"), ["url"], "valid")
 
 
 def current_invalid(spark: SparkSession, d: str) -> DataFrame:
-    return upsert.branch(branches(spark, d), ["url"], "invalid")
+    return upsert.branch(branches(spark, d, None, "invalid"), ["url"], "invalid")
 
 
 def trainable(df: DataFrame) -> DataFrame:
@@ -86,7 +89,7 @@ def trainable(df: DataFrame) -> DataFrame:
 def training_table(spark: SparkSession, d: str) -> DataFrame:
     """Priced candidates of the stored feature table, keyed by url, materialised for the passes over it."""
     columns = [*fixed.NUMERIC_FEATURES, *fixed.CATEGORICAL_FEATURES, fixed.TEXT_FEATURE, fixed.TARGET]
-    return cut_lineage(trainable(current_features(spark, d)).select("url", *columns))
+    return cut_lineage(trainable(current_features(spark, d, "is_model_candidate", *columns)).select("url", *columns))
 
 
 def counts_as_double(df: DataFrame, *columns: str) -> DataFrame:
@@ -103,12 +106,14 @@ def joined(column: str) -> F.Column:
 
 @query
 def scan_priced(spark, d):
-    return current_features(spark, d).where(F.col("price_vnd") > 0).select("url", "price_vnd", "area_m2", "updated_at")
+    rows = current_features(spark, d, "price_vnd", "area_m2", "updated_at")
+    return rows.where(F.col("price_vnd") > 0).select("url", "price_vnd", "area_m2", "updated_at")
 
 
 @query
 def scan_trainable(spark, d):
-    return trainable(current_features(spark, d)).select("url", "price_vnd", "area_m2", "property_type")
+    columns = ["price_vnd", "area_m2", "property_type"]
+    return trainable(current_features(spark, d, "is_model_candidate", *columns)).select("url", *columns)
 
 
 @query
@@ -162,7 +167,7 @@ def feature_envelope(spark, d):
 
 @query
 def quality_report_json(spark, d):
-    return quality.report(current_features(spark, d))
+    return quality.report(current_features(spark, d, *REPORTED))
 
 
 @query
@@ -350,7 +355,7 @@ def request_error_codes(spark, d):
 
 @query
 def training_gate(spark, d):
-    rows = current_features(spark, d).agg(
+    rows = current_features(spark, d, "is_model_candidate", "has_target_price").agg(
         F.count_if(F.col("is_model_candidate") & F.col("has_target_price")).alias("trainable_rows")
     )
     return rows.select(
@@ -372,7 +377,7 @@ def latest_invalid(spark, d):
 
 @query
 def stale_valid_urls(spark, d):
-    both = branches(spark, d).where("valid is not null and invalid is not null")
+    both = branches(spark, d, ["updated_at"]).where("valid is not null and invalid is not null")
     return both.select("url", "valid.updated_at")
 
 
@@ -444,24 +449,24 @@ def collection_counts(spark, d):
 
 @query
 def quality_summary(spark, d):
-    return quality.summary(current_features(spark, d))
+    return quality.summary(current_features(spark, d, "is_model_candidate", "price_vnd"))
 
 
 @query
 def property_type_distribution(spark, d):
-    return quality.group_counts(current_features(spark, d), "property_type")
+    return quality.group_counts(current_features(spark, d, "property_type"), "property_type")
 
 
 @query
 def top_provinces(spark, d):
-    return quality.group_counts(current_features(spark, d), "province_slug", 20)
+    return quality.group_counts(current_features(spark, d, "province_slug"), "province_slug", 20)
 
 
 @query
 def feature_health(spark, d):
     """Day's totals, rows of the last hour, last update and number of property types."""
     now = "2001-06-01T08:00:00+00:00"
-    recent = quality.newer_than(current_features(spark, d), now, 1, "scraped_at")
+    recent = quality.newer_than(current_features(spark, d, "scraped_at", "updated_at", "property_type"), now, 1, "scraped_at")
     age = quality.epoch_seconds(F.lit(now)) - quality.epoch_seconds(F.col("updated_at"))
     last_hour = (age >= 0) & (age < 3600)
     return recent.agg(
@@ -474,7 +479,8 @@ def feature_health(spark, d):
 
 @query
 def quality_24h(spark, d):
-    recent = quality.newer_than(current_features(spark, d), "2001-06-01T08:00:00+00:00", 1, "updated_at")
+    rows = current_features(spark, d, "updated_at", "is_model_candidate", "feature_coverage_score")
+    recent = quality.newer_than(rows, "2001-06-01T08:00:00+00:00", 1, "updated_at")
     counted = recent.agg(
         F.count("*").alias("total"),
         F.count_if("is_model_candidate").alias("candidates"),
@@ -580,7 +586,7 @@ def hourly_volume(spark, d):
 
 @query
 def recent_training_rows(spark, d):
-    rows = trainable(current_features(spark, d))
+    rows = trainable(current_features(spark, d, "price_vnd", "is_model_candidate", "updated_at"))
     return quality.newer_than(rows, "2001-10-01T00:00:00+00:00", 30, "updated_at").select("url", "price_vnd", "updated_at")
 
 
@@ -721,7 +727,8 @@ def impute_mode(spark, d):
 @query
 def one_hot(spark, d):
     """Categories of all stored listings, encoded with the vocabulary of the model candidates."""
-    rows = cut_lineage(current_features(spark, d).select("url", "is_model_candidate", *fixed.CATEGORICAL_FEATURES))
+    columns = ["is_model_candidate", *fixed.CATEGORICAL_FEATURES]
+    rows = cut_lineage(current_features(spark, d, *columns).select("url", *columns))
     vocabulary = features.category_counts(rows.where("is_model_candidate"), fixed.CATEGORICAL_FEATURES)
     return features.one_hot_entries(rows, "url", fixed.CATEGORICAL_FEATURES, vocabulary)
 
@@ -838,7 +845,8 @@ def ensemble_vote(spark, d):
 @query
 def scored_listings(spark, d):
     """Predictions for every stored listing, priced or not."""
-    scored = whole_model(spark, d).transform(current_features(spark, d))
+    columns = [*fixed.NUMERIC_FEATURES, *fixed.CATEGORICAL_FEATURES, fixed.TEXT_FEATURE, fixed.TARGET]
+    scored = whole_model(spark, d).transform(current_features(spark, d, *columns))
     return scored.select("url", "price_vnd", "predicted_price_vnd", "predicted_price_billion_vnd")
 
 
