@@ -68,6 +68,7 @@ def test_winners_and_their_rows_need_no_shuffle(spark, log):
 
 def test_scans_of_the_stored_table_push_filters_and_prune(spark, tmp_path):
     path = str(tmp_path / "features")
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
     n = F.col("id")
     features = spark.range(1000).select(
         F.concat(F.lit("u"), n).alias("url"), F.when(n % 4 > 0, n * 1e6).alias("price_vnd"), (n % 3 == 0).alias("is_model_candidate"),
@@ -83,4 +84,5 @@ def test_scans_of_the_stored_table_push_filters_and_prune(spark, tmp_path):
         schema = plan.split("ReadSchema: ")[1].splitlines()[0]
         assert all(f in pushed for f in filters), pushed
         assert "description" not in schema and "province_slug" not in schema
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
     assert find_url(spark, path, "u77").first().area_m2 == 38.5 and find_url(spark, path, "none").count() == 0
