@@ -71,9 +71,11 @@ def validation_errors(
     price: Column | None = None,
     area: Column | None = None,
     per_m2: Column | None = None,
+    unreadable: dict[str, Column] | None = None,
 ) -> Column:
     """ARRAY of error names in a fixed order; empty when the listing is valid. Zero counts as missing in the
-    per-m² check but not in the range checks."""
+    per-m² check but not in the range checks. ``unreadable`` tells of "price" and "area" where the field holds
+    something that is not a number; its value is then to be NULL."""
     url = F.col("url") if url is None else url
     price = F.col("price_vnd") if price is None else price
     area = F.col("area_m2") if area is None else area
@@ -81,12 +83,15 @@ def validation_errors(
     expected = F.when(area != 0, price / area)
     slack = F.greatest(F.lit(fixed.PER_M2_ABS_TOLERANCE), expected * fixed.PER_M2_REL_TOLERANCE)
     inconsistent = (price != 0) & (per_m2 != 0) & (expected != 0) & (F.abs(expected - per_m2) > slack)
+    invalid = {"price": F.lit(False), "area": F.lit(False)} | (unreadable or {})
     checks = [
         (F.coalesce(url, F.lit("")) == "", "missing_url"),
         (price <= 0, "price_non_positive"),
         (price > fixed.MAX_PRICE_VND, "price_too_large"),
+        (invalid["price"], "price_invalid"),
         (area <= 0, "area_non_positive"),
         (area > fixed.MAX_AREA_M2, "area_too_large"),
+        (invalid["area"], "area_invalid"),
         (inconsistent, "price_per_m2_inconsistent"),
     ]
     return F.array_compact(F.array(*[F.when(failed, F.lit(name)) for failed, name in checks]))

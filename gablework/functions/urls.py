@@ -9,25 +9,39 @@ from .. import fixed
 from .text import let
 
 
-#: Inner ../ steps that are resolved in one link.
-MAX_PARENT_STEPS = 4
+def dotless_path(path: Column) -> Column:
+    """The absolute path, without ``.`` and ``..`` steps, that a path on a page of the root leads to. One pass over
+    the steps; inner empty ones go where the path is relative."""
+    parts = F.split(path, "/")
+    last = F.size(parts) - 1
+    inner = F.concat(F.array(F.lit("")), F.filter(parts, lambda s, i: (s != "") | (i == last)))
+    steps = F.when(path.startswith("/"), parts).otherwise(inner)
+    kept = F.aggregate(
+        steps,
+        F.array().cast("array<string>"),
+        lambda done, s: F.when(s == ".", done)
+        .when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))))
+        .otherwise(F.concat(done, F.array(s))),
+    )
+    ends_in_step = F.element_at(parts, -1).isin(".", "..")
+    joined = F.array_join(F.when(ends_in_step, F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    return F.when(joined.startswith("/"), joined).otherwise(F.concat(F.lit("/"), joined))
 
 
 def resolve_url(href: Column, base: str = fixed.BASE_URL) -> Column:
     """Absolute form of a link found on a page of the site root ``base``."""
     host = base.rstrip("/")
     scheme = host.split(":", 1)[0]
-    # A step up to the parent takes the folder before it away; above the root there is nothing to leave.
-    dotless = F.regexp_replace(href, r"(?<=^|/)\./", "")
-    for _ in range(MAX_PARENT_STEPS):
-        dotless = F.regexp_replace(dotless, r"^((?:[^/?#]+/)*?)(?!\.\./)[^/?#]+/\.\./", "$1")
-    dotless = F.regexp_replace(dotless, r"^(?:\.\./)+", "")
+    path = F.regexp_extract(href, r"(?s)^[^?#]*", 0)
+    rest = F.substring(href, F.length(path) + 1, F.length(href))
+    # Most links have no such steps; the pass over the steps is for those that do.
+    stepped = path.rlike(r"(^|/)\.{1,2}(/|$)") | path.rlike("[^/]//")
+    plain = F.when(path.startswith("/"), path).otherwise(F.concat(F.lit("/"), path))
     return (
         F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(F.lit(scheme + ":"), href))
-        .when(href.startswith("/"), F.concat(F.lit(host), href))
         .when(href.rlike(r"^[?#]"), F.concat(F.lit(host), href))
-        .otherwise(F.concat(F.lit(host + "/"), dotless))
+        .otherwise(F.concat(F.lit(host), F.when(stepped, dotless_path(path)).otherwise(plain), rest))
     )
 
 

@@ -10,7 +10,7 @@ from ..functions.listing import COVERED, coverage_score, has_target_price, is_mo
 from ..functions.listing import validation_errors
 from ..functions.numbers import half_even_int, parse_price
 from ..functions.text import blank_to_null, clean_text
-from ..sources.values import flag_field, number_field, text_field
+from ..sources.values import flag_field, number_field, strict_number, text_field
 
 # Output column <- raw field, for the plain text columns.
 _TEXTS = {
@@ -137,5 +137,11 @@ def normalize(df: DataFrame, now: Column | None = None, keep: list[str] | None =
 
 
 def validate(df: DataFrame) -> DataFrame:
-    """Add ``validation_errors``; a listing is valid when it is empty."""
-    return df.withColumn("validation_errors", validation_errors())
+    """Add ``validation_errors``; a listing is valid when it is empty. Also takes normalised records of other origin,
+    whose price or area may be VARIANT or text: what is no number there is ``price_invalid`` or ``area_invalid``."""
+    values, unreadable = {}, {}
+    for field, name in (("price", "price_vnd"), ("area", "area_m2"), ("per_m2", "price_per_m2_vnd")):
+        values[field], bad = strict_number(df, name)
+        if bad is not None and field != "per_m2":
+            unreadable[field] = F.coalesce(bad, F.lit(False))
+    return df.withColumn("validation_errors", validation_errors(**values, unreadable=unreadable))

@@ -58,6 +58,23 @@ def number_field(df: DataFrame, name: str) -> Column:
     return parse_number(column)
 
 
+def strict_number(df: DataFrame, name: str) -> tuple[Column, Column | None]:
+    """(value, unreadable) of a field that should be a number already: texts, arrays and objects are none, and are not
+    parsed. Without a second column every value of the field's type is a number."""
+    kind = _type_of(df, name)
+    if kind is None:
+        return F.lit(None).cast("double"), None
+    column = F.col(name)
+    if isinstance(kind, (T.NumericType, T.BooleanType)):
+        return column.cast("double"), None
+    if isinstance(kind, T.VariantType):
+        number = _variant_kind(column).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")
+        value = F.coalesce(F.try_variant_get(column, "$", "double"), F.try_variant_get(column, "$", "boolean").cast("double"))
+        absent = F.coalesce(_variant_kind(column) == "VOID", F.lit(True))
+        return F.when(number, value), ~number & ~absent
+    return F.lit(None).cast("double"), column.isNotNull()
+
+
 def flag_field(df: DataFrame, name: str) -> tuple[Column, Column]:
     """(value, readable) of an integer flag. Missing, null, '' and false are 0; other texts must be whole numbers."""
     kind = _type_of(df, name)

@@ -1,3 +1,6 @@
+import random
+from urllib.parse import urljoin
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -18,6 +21,7 @@ from gablework.functions import (
     words,
 )
 from gablework.functions.html import page_tokens
+from gablework.operators.normalize import validate
 
 NUMBERS = [
     ("1.234,56", 1234.56),
@@ -163,3 +167,25 @@ def test_links_to_parent_folders(spark):
     df = spark.createDataFrame([(k,) for k in links], "href string")
     got = {r.href: r.url for r in df.select("href", resolve_url(F.col("href"), "https://site.example/").alias("url")).collect()}
     assert got == {k: "https://site.example" + v for k, v in links.items()}
+
+
+def test_links_resolve_like_the_standard_library(spark):
+    draw = random.Random(4)
+    steps = ["a", "b", "c.html", ".", "..", "..", "", "x y", "...", "..z"]
+    hrefs = ["/".join(draw.choice(steps) for _ in range(draw.randint(1, 12))) for _ in range(400)]
+    hrefs += ["/".join(["d"] * 9 + [".."] * 6 + ["e"]), "/k/../l", "a/../../../b?q=../x#../y", "?p=1", "#top", "a/..", "a/.", "..", "/"]
+    hrefs = [h for h in hrefs if h and not h.startswith("//")]
+    rows = spark.createDataFrame([(h,) for h in hrefs], "href string").select("href", resolve_url(F.col("href"), "https://site.vn").alias("u")).collect()
+    wrong = [(r.href, r.u, urljoin("https://site.vn", r.href)) for r in rows if r.u != urljoin("https://site.vn", r.href)]
+    assert not wrong, wrong[:5]
+
+
+def test_values_that_are_no_numbers_are_invalid(spark):
+    rows = [("1", "5e9", "40"), ("2", '{"a": 1}', "40"), ("3", "[1]", '"wide"'), ("4", '"5 ty"', "null"), ("5", "null", None), ("6", "-1", "true")]
+    df = spark.createDataFrame(rows, "url string, p string, a string").select(
+        "url", F.try_parse_json("p").alias("price_vnd"), F.try_parse_json("a").alias("area_m2"), F.lit(None).cast("double").alias("price_per_m2_vnd")
+    )
+    found = {r.url: r.validation_errors for r in validate(df).collect()}
+    assert found == {"1": [], "2": ["price_invalid"], "3": ["price_invalid", "area_invalid"], "4": ["price_invalid"], "5": [], "6": ["price_non_positive"]}
+    text = spark.createDataFrame([("1", "12", 50.0)], "url string, price_vnd string, area_m2 double")
+    assert validate(text).first().validation_errors == ["price_invalid"]
