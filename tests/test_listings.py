@@ -1,8 +1,10 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
+from gablework import fixed
 from gablework.operators import routing, upsert
 from gablework.operators.normalize import NORMALIZED_COLUMNS, normalize, validate
 from gablework.plans.jobs import export_dataset, normalize_file, write_report
@@ -170,6 +172,55 @@ def test_stream_equals_batch_and_replays(spark, tmp_path):
     assert ingest.default_checkpoint(spark, base) != ingest.default_checkpoint(spark, base + "2")
 
 
+def test_writes_are_accounted_and_refused_rows_become_dead_letters(spark, tmp_path, monkeypatch):
+    base = str(tmp_path / "out")
+    ingest.store_batch(messages(spark, STREAM), 0, base, now())
+    # The second batch's features meet a store that is gone.
+    real = ingest._append
+
+    def refusing(df, target, log, batch):
+        if (log, batch) == ("training_features", 1):
+            raise OSError("the store is gone")
+        real(df, target, log, batch)
+
+    monkeypatch.setattr(ingest, "_append", refusing)
+    later = [{"url": "a", "price_text": "4 tỷ", "area_text": "100"}, {"url": "c", "price_text": "700 tỷ", "area_text": "50"}]
+    ingest.store_batch(messages(spark, later), 1, base, now())
+    account = {(r.batch, r.log): r for r in ingest.log(spark, base, "write_account", keep_batch=True).collect()}
+    assert account[0, "training_features"].rows == 3 and account[0, "training_features"].error is None
+    assert account[1, "training_features"].rows == 1 and account[1, "training_features"].error == "OSError: the store is gone"
+    assert account[1, "invalid_records"].rows == 1 and account[1, "dlq_raw"].rows == 1
+    letter = spark.read.parquet(f"{base}/dlq_raw/batch=1").first()
+    assert letter.kind == "normalized" and json.loads(letter.normalized)["price_vnd"] == 4e9 and letter.offset == 0
+    totals = {r.name: r.value for r in ingest.write_totals(spark, base).collect()}
+    assert totals[fixed.WRITES_OK] == 5 + 3 + 2 + 2 + 1 and totals[fixed.WRITES_FAILED] == 1
+    assert totals[fixed.DURATION_COUNT] == 2 and totals[fixed.DURATION_SUM] > 0
+    # The batch again, with the store back: nothing is counted twice.
+    monkeypatch.setattr(ingest, "_append", real)
+    ingest.store_batch(messages(spark, later), 1, base, now())
+    totals = {r.name: r.value for r in ingest.write_totals(spark, base).collect()}
+    assert totals[fixed.WRITES_OK] == 5 + 3 + 2 + 2 + 1 + 1 and totals[fixed.WRITES_FAILED] == 0
+    assert spark.read.parquet(f"{base}/dlq_raw/batch=1").count() == 0
+
+
+def test_listener_counts_what_the_stream_consumed(spark, tmp_path):
+    source = str(tmp_path / "in")
+    rows = messages(spark, STREAM).withColumn("timestamp", F.current_timestamp())
+    rows.repartition(2).write.json(source)
+    counters = ingest.IngestCounters()
+    spark.streams.addListener(counters)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).json(source)
+        ingest.start_ingest(stream, str(tmp_path / "out"), str(tmp_path / "checkpoint"), now()).awaitTermination()
+        until = time.time() + 20
+        while counters.consumed < len(STREAM) and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(counters)
+    assert (counters.consumed, counters.last_offset, counters.failure) == (6, 5, None)
+    assert counters.batches == 2 and counters.seconds > 0
+
+
 def test_files(spark, tmp_path):
     path = tmp_path / "records.json"
     records = [
