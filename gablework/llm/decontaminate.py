@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NO_WORD, WORD, stored, table, unused, words
+from .common import NO_WORD, WORD, numbered, stored, table, unused, words
 
 WINDOW = 13
 #: A window takes some 200 bytes; a set of more than this is joined by shuffle instead of broadcast.
@@ -145,6 +145,13 @@ def drop_contaminated(docs: DataFrame, report: DataFrame, id_col: str = "doc_id"
     return docs.join(bad, docs[id_col].cast("long").eqNullSafe(bad[name]), "left_anti")
 
 
+def uncontaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **settings) -> DataFrame:
+    """The rows that are not contaminated, all columns unchanged. Every row is judged by itself, whatever its id."""
+    rows, row = numbered(docs)
+    bad = contamination(rows, benchmark, id_col=row, **settings).where("contaminated").select(F.col("doc_id").alias(row))
+    return rows.join(bad, row, "left_anti").select(*docs.columns)
+
+
 def drop_spans(docs: DataFrame, report: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their hit words (each goes with the separators after it). Ids must be unique."""
     own_id, own_runs = unused(docs, "own_id"), unused(docs, "own_runs")

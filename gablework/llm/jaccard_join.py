@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stored, table, unused
+from .common import numbered, stored, table, unused
 from .terms import WordHashes, shingles, words_of
 
 WIDTH, THRESHOLD = 5, 0.8
@@ -339,6 +339,18 @@ def keep_one(docs: DataFrame, classes: DataFrame, id_col: str = "doc_id") -> Dat
     return docs.join(gone, docs[id_col].cast("long") == gone[name], "left_anti")
 
 
+def near_unique(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class of near duplicates, all columns unchanged: the one of least id, a null id coming last and
+    one of rows that share it. Rows are told apart by a number, so ids may be null or repeated. Rows without words stay."""
+    rows, row = numbered(docs)
+    classes = jaccard_join(rows, id_col=row, text_col=text_col).select(F.col("doc_id").alias("member"), "class_id")
+    ids = rows.select(F.col(row).alias("member"), F.col(id_col).cast("long").alias("own"))
+    placed = stored(classes.join(ids, "member"))
+    first = F.min_by("member", F.struct(F.col("own").isNull(), "own", "member")).alias("kept")
+    gone = placed.join(placed.groupBy("class_id").agg(first), "class_id").where("member <> kept").select(F.col("member").alias(row))
+    return rows.join(gone, row, "left_anti").select(*docs.columns)
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
