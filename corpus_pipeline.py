@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gablework.llm.common import stored, table
-from gablework.llm.decontaminate import contamination, drop_contaminated
-from gablework.llm.jaccard_join import jaccard_join, keep_one
+from gablework.llm.decontaminate import uncontaminated
+from gablework.llm.jaccard_join import near_unique
 from gablework.llm.language import identify, trained_on
 from gablework.llm.line_dedup import line_dedup
 from gablework.llm.packing import best_fit_packing
@@ -31,13 +31,12 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each class."""
-    return keep_one(docs, jaccard_join(docs))
+    return near_unique(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which less than a twentieth of the words stand in benchmark windows."""
-    report = contamination(docs, table(spark, sf_dir, "benchmark"))
-    return drop_contaminated(docs, report)
+    return uncontaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +51,7 @@ STAGES = [
     ("benchmark_decontamination", benchmark_decontamination),
     ("best_fit_packing", packing),
 ]
-#: Language identification and tokenising are not expressible in SQL; tests hold the rows against plain Python.
+#: Language identification and tokenising are not expressible in SQL; tests hold the filters' rows against plain Python.
 ORACLE_SQL = None
 
 
