@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .timeline import counter_increase, firing
+from .timeline import counter_increase, firing, last_state
 
 SERIES = ["instance", "name"]
 FIVE_MINUTES, HOUR = 300.0, 3600.0
@@ -117,9 +117,9 @@ def threshold_alerts(samples: DataFrame, rules: DataFrame) -> DataFrame:
     )
     judged = samples.join(rules, "name").withColumn("breached", F.coalesce(broken, F.lit(False)))
     rule = ["instance", "name", "comparator", "threshold", "hold", "severity"]
-    states = firing(judged, rule, F.col("breached"), F.col("hold"))
-    last = F.max_by(F.struct("value", "breached", "since", "state"), "ts").alias("_last")
-    return states.groupBy(*rule).agg(last, F.max("ts").alias("ts")).select(*rule, "ts", "_last.*")
+    return last_state(judged, rule, F.col("breached"), F.col("hold"), ["value", "breached"]).select(
+        *rule, "ts", "value", "breached", "since", "state"
+    )
 
 
 def families_of(codes: DataFrame, code: str, families: DataFrame) -> DataFrame:

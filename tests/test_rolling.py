@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gablework.operators import timeline
+from gablework.operators import monitor, timeline
 
 
 def plan_of(df):
@@ -50,3 +50,12 @@ def test_last_state_equals_the_last_row_of_firing(spark):
     wanted = {tuple(r) for r in every.select("name", "ts", "l.*").collect()}
     found = timeline.last_state(df, ["name"], F.col("c"), 150, ["c"])
     assert {tuple(r) for r in found.collect()} == {t if t[4] else (*t[:4], "inactive") for t in wanted}
+
+
+def test_threshold_alerts_sort_no_series(spark):
+    samples = spark.createDataFrame([(float(t), "i", "m", float(t % 7)) for t in range(100)], "ts double, instance string, name string, value double")
+    rules = spark.createDataFrame([("m", "<", 5.0, 1.0, "HIGH")], "name string, comparator string, threshold double, hold double, severity string")
+    found = monitor.threshold_alerts(samples, rules)
+    assert "Window" not in plan_of(found)
+    (row,) = found.collect()
+    assert (row.ts, row.value, row.breached, row.since, row.state) == (99.0, 1.0, True, 98.0, "firing")
