@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from gablework import fixed
 from gablework.operators import routing, upsert
 from gablework.operators.normalize import NORMALIZED_COLUMNS, normalize, validate
+from gablework.plans import queries
 from gablework.plans.jobs import export_dataset, normalize_file, write_report
 from gablework.streaming import ingest
 
@@ -104,6 +105,29 @@ def test_branches(spark):
     assert sorted(r.url for r in both.collect()) == ["u", "v"]
 
 
+def test_search_text_is_joined_after_the_upsert(spark, tmp_path):
+    """It equals the text of the winning version, and the upsert does not send it beside its parts."""
+    days = ["2001-01-01 00:00:00", "2001-01-02 00:00:00"]
+    made = [f"({u}L, {p}L, {s}L, {n}, 30.0D, 1.5D, 0.0D, 0.0D, 'N', 'O', timestamp_ntz'{days[n % 2]}')" for u in range(90, 110) for n, p, s in ((1, u, u + 1), (2, u + 4, u + 2))]
+    names = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
+    spark.sql(f"SELECT * FROM VALUES {', '.join(made)} AS t({names})").write.parquet(str(tmp_path / "lineitem.parquet"))
+    found = queries.current_features(spark, str(tmp_path))
+    checked = queries.validated(spark, str(tmp_path)).where(F.size("validation_errors") == 0)
+    plain = upsert.latest_by_key(checked, ["url"], queries.ARRIVAL).select(*found.columns)
+    assert found.columns[0] == "url" and "text_features" in found.columns
+    assert found.count() == plain.count() > 5
+    assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+    sent = queries.branches
+    seen = []
+    try:
+        queries.branches = lambda s, d, columns=None, only=None: seen.append(columns) or sent(s, d, columns, only)
+        queries.current_features(spark, str(tmp_path))
+        queries.current_invalid(spark, str(tmp_path))
+    finally:
+        queries.branches = sent
+    assert len(seen) == 2 and all(columns and "text_features" not in columns for columns in seen)
+
+
 def test_latest_and_merge(spark):
     rows = [("u", 1, "a", None), ("u", 3, None, "y"), ("u", 2, "b", "x"), (None, 1, "n", None), (None, 2, "m", None)]
     df = spark.createDataFrame(rows, "url string, offset int, p string, q string")
