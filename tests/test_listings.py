@@ -5,10 +5,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from gablework import fixed
+from gablework.functions.text import clean_text
 from gablework.operators import routing, upsert
 from gablework.operators.normalize import NORMALIZED_COLUMNS, normalize, validate
 from gablework.plans import queries
 from gablework.plans.jobs import export_dataset, normalize_file, write_report
+from gablework.sources import tables
 from gablework.streaming import ingest
 
 def now():
@@ -267,3 +269,49 @@ def test_files(spark, tmp_path):
     report = json.loads(spark.read.text(str(tmp_path / "report")).first().value)
     assert report["total_records"] == 2 and report["candidate_ratio"] == 0.5
     assert report["property_type_distribution"] == [{"_id": None, "count": 1}, {"_id": "house", "count": 1}]
+
+
+def unfused(df):
+    """The lines of a plan that compute columns without being part of a generated stage."""
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [line for line in lines if "Project [" in line and "*(" not in line]
+
+
+def test_projection_of_many_texts_is_not_one_method(spark):
+    texts = spark.range(3).selectExpr("cast(id as string) as a", "concat(' ', id, '\t b ') as b", "' ' as c", "cast(null as string) as d")
+    cleaned = texts.select(*[clean_text(F.col(c)).alias(c) for c in texts.columns])
+    assert unfused(cleaned)
+    assert [tuple(r) for r in cleaned.orderBy("a").collect()] == [(str(i), f"{i} b", None, None) for i in range(3)]
+
+
+def lineitem_rows(spark, folder, rows):
+    """One file of one row group, as the given tables are."""
+    columns = [f"cast({c} as bigint) as {c}" for c in ("l_orderkey", "l_partkey", "l_suppkey")]
+    made = rows.selectExpr(
+        *columns, "cast(l_quantity as double) as l_quantity", "cast(l_linenumber as int) as l_linenumber",
+        "timestamp'1995-01-02 00:00:00' as l_shipdate", "cast(l_partkey as double) as l_extendedprice",
+    )
+    made.coalesce(1).write.parquet(f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+def test_raw_listings_of_one_file_are_read_by_all_cores(spark, tmp_path):
+    # Two thirds of the rows are of one order, and some have no order.
+    rows = spark.range(3000).selectExpr(
+        "case when id % 3 > 0 then 7 when id % 30 = 0 then null else id end as l_orderkey", "id as l_partkey", "id % 10 as l_suppkey",
+        "1 + id % 50 as l_quantity", "1 + id % 7 as l_linenumber",
+    )
+    d = lineitem_rows(spark, tmp_path, rows)
+    found = tables.raw_listings(spark, d)
+    assert unfused(found)
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    held = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(held) == tasks and max(r["count"] for r in held) < 1500
+    plain = tables.read(spark, d, "lineitem").selectExpr(*tables.raw_select(tables.LINEITEM_SEEDS), *tables.LINEITEM_ARRIVAL)
+    assert found.columns == plain.columns and found.count() == 3000
+    assert found.exceptAll(plain).count() == plain.exceptAll(found).count() == 0
+
+
+def test_rows_in_enough_pieces_stay_where_they_are(spark):
+    rows = spark.range(0, 100, 1, 2 * spark.sparkContext.defaultParallelism)
+    assert tables.spread(rows, "id") is rows
