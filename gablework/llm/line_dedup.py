@@ -5,7 +5,8 @@ are near if their edit distance is at most one per ``CHARS_PER_EDIT`` characters
 most. Such a line is cut into threshold-plus-one even segments; at least one of them must occur unchanged in a near
 line, at one of a few places that its length allows. Segments and the substrings at these places are hashed with
 length and number into one index key. Keys that only one line has are dropped after one narrow shuffle; what is left
-is filtered by a bit sketch and verified by a banded bit-parallel edit distance.
+is filtered by a bit sketch and verified by edit distance. Lines of keys that many share are compared with the key's
+leading line, and then by keys that hold all of a line but the segments with the edits, of ever more segments.
 
 Documents are ordered by id. A line stays where it occurs first, unless it is near a different line that precedes
 it (by first document, then by digest); all other occurrences go. Blank lines stay.
@@ -25,6 +26,8 @@ BLANKS = " \t\r\f\x0b"
 MAX_BROADCAST_LINES = 500_000
 #: Lines that are at least this fraction (1 / HOT_LINES) of all lines are handled by broadcast.
 HOT_LINES = 1000
+#: Keys with more lines than this are replaced by keys of all but the edited ones of so many segments, step by step.
+KEY_LINES, FINER_PIECES = 32, (5, 9)
 LAST = 2**63 - 1
 
 
@@ -92,9 +95,42 @@ def entries_of(lines: DataFrame) -> DataFrame:
     return listed.select("key", "h", (F.col("at") <= F.col("edits")).alias("own"))
 
 
-def bound(value: Column, use) -> Column:
-    """``use`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
+def finer_entries(lines: DataFrame, pieces: int) -> DataFrame:
+    """Entries of lines by all of a line but one segment of ``pieces``, or two where two edits are allowed.
+
+    Those are the segments that the edits lie in. What precedes them stands unmoved in a near line, what follows them is
+    moved by the difference in length, and what lies between two of them by one place at most. Edits in one segment
+    only are covered by two neighbouring ones, which have nothing between them.
+    """
+    cases = []
+    for edits in range(1, MAX_EDITS + 1):
+        for longer_by in range(edits + 1):
+            for a in range(pieces):
+                for b in [a] if edits == 1 else range(a + 1, pieces):
+                    moved = [0] if b <= a + 1 else [m for m in (-1, 0, 1) if abs(longer_by - m) <= 1]
+                    cases += [(edits, longer_by, a, b, m) for m in moved]
+    names = ("edits", "longer_by", "a", "b", "moved")
+    listed = F.array(*[F.struct(*[F.lit(v).alias(name) for name, v in zip(names, case)]) for case in cases])
+    n = F.char_length("line")
+
+    def ends(c: Column, i: Column) -> Column:
+        """Characters before segment i."""
+        length = n - c.longer_by
+        over = F.pmod(length, F.lit(pieces))
+        return i * ((length - over) / pieces).cast("int") + F.greatest(F.lit(0), i - pieces + over)
+
+    def entry(c: Column) -> Column:
+        first, last = ends(c, c.a + 1), ends(c, c.b)
+        key = F.xxhash64(
+            n - c.longer_by, c.a, c.b, F.substring(F.col("line"), F.lit(1), ends(c, c.a)),
+            F.substring(F.col("line"), first + 1 + c.moved, F.greatest(F.lit(0), last - first)),
+            F.substring(F.col("line"), ends(c, c.b + 1) + 1 + c.longer_by, n),
+        )
+        return F.struct(key.alias("key"), ((c.longer_by == 0) & (c.moved == 0)).alias("own"))
+
+    fitting = F.filter(listed, lambda c: c.edits == allowed(n - c.longer_by))
+    entries = lines.select("digest", "first_doc", "bits", F.explode(F.transform(fitting, entry)).alias("e"))
+    return entries.select("e.key", "e.own", "digest", "first_doc", "bits")
 
 
 def sketch(line: Column) -> Column:
@@ -109,69 +145,8 @@ def sketch(line: Column) -> Column:
 
 
 def within_edits(longer: Column, shorter: Column, edits: Column) -> Column:
-    """Whether the edit distance of two lines is at most ``edits`` (at most MAX_EDITS; both lines are longer).
-
-    Bit-parallel over a band: per character of the shorter line one word holds the differences between neighbours in
-    the column, for the rows within MAX_EDITS of the diagonal; the lowest bit of the band is followed along its
-    diagonal and then along the last row.
-    """
-    band, width = MAX_EDITS, 2 * MAX_EDITS + 2
-    full = (1 << width) - 1
-    a, b, m = F.split(longer, ""), F.split(shorter, ""), F.char_length(longer)
-
-    def long(value: int) -> Column:
-        return F.lit(value).cast("long")
-
-    def flip(x: Column) -> Column:
-        return x.bitwiseXOR(long(full))
-
-    def bit(x: Column, place: Column | int) -> Column:
-        return F.getbit(x, F.lit(place) if isinstance(place, int) else place).cast("int")
-
-    def step(state: Column, i: Column) -> Column:
-        here = F.get(state.b, i)
-        match = long(0)
-        for d in range(-band, band + 1):
-            match = match + F.when(F.get(state.a, i + d) == here, long(1 << (width - 1 - band + d))).otherwise(long(0))
-        return F.struct(match.alias("match"), i.alias("i"))
-
-    def advance(s: Column, x: Column) -> Column:
-        eq, vp, vn = x.match, s.vp, s.vn
-        low = (eq.bitwiseAND(vp) + vp).bitwiseAND(long(full))
-        d0 = low.bitwiseXOR(vp).bitwiseOR(eq).bitwiseOR(vn)
-        return F.struct(d0.alias("d0"), vp.alias("vp"), vn.alias("vn"), s.score.alias("score"), x.i.alias("i"))
-
-    def across(s: Column) -> Column:
-        hp = s.vn.bitwiseOR(flip(s.d0.bitwiseOR(s.vp)))
-        hn = s.d0.bitwiseAND(s.vp)
-        return F.struct(s.d0.alias("d0"), hp.alias("hp"), hn.alias("hn"), s.score.alias("score"), s.i.alias("i"))
-
-    def settle(s: Column, rows: Column) -> Column:
-        place = F.greatest(F.lit(0), width - 2 - (s.i - (rows - band))).cast("int")
-        along = 1 - bit(s.d0, width - 1)
-        below = bit(s.hp, place) - bit(s.hn, place)
-        half = F.shiftright(s.d0, 1)
-        return F.struct(
-            s.hn.bitwiseOR(flip(half.bitwiseOR(s.hp))).alias("vp"),
-            half.bitwiseAND(s.hp).alias("vn"),
-            (s.score + F.when(s.i < rows - band, along).otherwise(below)).alias("score"),
-        )
-
-    first = full ^ ((1 << (width - band - 1)) - 1)
-    start = F.struct(long(first).alias("vp"), long(0).alias("vn"), F.lit(band).alias("score"))
-
-    def one(s: Column, i: Column, chars: Column) -> Column:
-        return bound(
-            bound(bound(step(chars, i), lambda x: advance(s, x)), across), lambda t: settle(t, chars.m)
-        )
-
-    return bound(
-        F.struct(a.alias("a"), b.alias("b"), m.alias("m")),
-        lambda chars: F.aggregate(
-            F.sequence(F.lit(0), F.size(chars.b) - 1), start, lambda s, i: one(s, i, chars), lambda s: s.score
-        )
-        <= edits,
-    )
+    """Whether the edit distance of two lines is at most ``edits`` (at most MAX_EDITS)."""
+    return F.levenshtein(longer, shorter, MAX_EDITS).between(F.lit(0), edits)
 
 
 def line_table(docs: DataFrame) -> DataFrame:
@@ -224,20 +199,36 @@ def near_lines(placed: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame
         near = F.when(fits, within_edits(F.col("longer"), F.col("shorter"), edits)).otherwise(False)
         return both.where(near).select(F.col("after").alias("digest")).distinct()
 
-    # First every line against the leading line of its key, which settles most of a large group in one pass.
     order = F.struct("first_doc", "digest")
-    leading = entries.where("own").groupBy("key").agg(F.min(order).alias("lead"))
-    led = entries.join(leading, "key").where(order > F.col("lead"))
-    settled = stored(verified(led.select(F.col("lead.digest").alias("before"), F.col("digest").alias("after"))))
-    left = entries.join(settled, "digest", "left_anti")
-    x = entries.select("key", *[F.col(c).alias(f"x_{c}") for c in ("digest", "first_doc", "bits", "own")])
-    pairs = left.join(x, "key").where(
-        (F.col("own") | F.col("x_own"))
-        & (F.struct("x_first_doc", "x_digest") < order)
-        & (F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= 3 * MAX_EDITS)
-    )
-    rest = verified(pairs.select(F.col("x_digest").alias("before"), F.col("digest").alias("after")))
-    return settled.unionByName(rest).distinct()
+    found = None
+    for pieces in [*FINER_PIECES, None]:
+        # First every line against the leading line of its key, which settles most of a large group in one pass.
+        leading = entries.where("own").groupBy("key").agg(F.min(order).alias("lead"))
+        left = entries if found is None else entries.join(found, "digest", "left_anti")
+        led = left.join(leading, "key").where(order > F.col("lead"))
+        settled = verified(led.select(F.col("lead.digest").alias("before"), F.col("digest").alias("after")))
+        found = stored(settled if found is None else found.unionByName(settled))
+        left, x = entries.join(found, "digest", "left_anti"), entries
+        # Large groups that it leaves open are cut again by finer keys, as their pairs grow with the square of their size.
+        large = None
+        if pieces is not None:
+            sizes = entries.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > KEY_LINES)
+            large = stored(sizes.join(left.select("key"), "key", "left_semi").select("key"))
+            large = None if large.isEmpty() else large
+        if large is not None:
+            left, x = (part.join(large, "key", "left_anti") for part in (left, x))
+        x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in ("digest", "first_doc", "bits", "own")])
+        pairs = left.join(x, "key").where(
+            (F.col("own") | F.col("x_own"))
+            & (F.struct("x_first_doc", "x_digest") < order)
+            & (F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= 3 * MAX_EDITS)
+        )
+        rest = verified(pairs.select(F.col("x_digest").alias("before"), F.col("digest").alias("after")))
+        if large is None:
+            return found.unionByName(rest).distinct()
+        found = stored(found.unionByName(rest))
+        again = entries.join(large, "key", "left_semi").select("digest").distinct()
+        entries = stored(finer_entries(texts.join(again, "digest"), pieces))
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -291,7 +282,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     all_lines = F.split(F.col(text_col), "\n")
     ends = F.octet_length(F.col(text_col)) - F.octet_length(F.replace(F.col(text_col), F.lit("\n"), F.lit("")))
     left = F.array_except(F.sequence(F.lit(0), ends), F.col(places_gone))
-    cut = F.array_join(F.transform(left, lambda i: F.get(all_lines, i)), "\n")
+    # A lambda computes its body for each element, so the split is an array of one that an outer lambda takes.
+    cut = F.get(
+        F.transform(F.array(all_lines), lambda own: F.array_join(F.transform(left, lambda i: F.get(own, i)), "\n")), F.lit(0)
+    )
     joined = docs.join(gone, same, "left")
     return joined.select(
         *[

@@ -6,7 +6,8 @@ import pytest
 from cases import TEXTS, clashing, documents, rows_of
 from gablework.llm.exact_dedup import exact_dedup, misra_gries
 from gablework.llm.jaccard_join import Forest, jaccard_join, keep_one, links_of_block, prefix_depth, recall_at
-from gablework.llm.line_dedup import allowed, line_dedup, places, segments, within_edits
+from gablework.llm import line_dedup as line_dedups
+from gablework.llm.line_dedup import allowed, entries_of, finer_entries, line_dedup, places, segments, within_edits
 from gablework.llm.terms import WordHashes, shingles, words_of
 from pyspark.sql import functions as F
 
@@ -226,3 +227,46 @@ def test_line_dedup_of_edge_cases(spark):
     assert line_dedup(documents(spark, [])).count() == 0
     twice = documents(spark, [(1, "same line\nsame line\nother"), (1, "same line\nsame line\nother")])
     assert [r.text for r in line_dedup(twice).collect()] == ["same line\nother"] * 2
+
+
+def edited(draw, base, times):
+    line = list(base)
+    for _ in range(times):
+        k = draw.randrange(len(line))
+        line[k : k + draw.randint(0, 1)] = draw.choice(["", "x", "y"])
+    return "".join(line)
+
+
+def test_finer_keys_part_a_large_group_and_lose_no_near_line(spark):
+    draw = random.Random(3)
+    base = "".join(draw.choice("abcde ") for _ in range(90))
+    short = base[:40]
+    lines = sorted({edited(draw, b, times).strip() for b in (base, short) for times in (0, 1, 2, 2, 2) for _ in range(12)})
+    table = spark.createDataFrame([(x, 0, 0, x, len(x)) for x in lines], "digest string, first_doc int, bits int, line string, n int")
+
+    def linked(entries, name):
+        x = entries.select("key", F.col("own").alias("x_own"), F.col(name).alias("x"))
+        both = entries.join(x, "key").where((F.col("own") | F.col("x_own")) & (F.col(name) < F.col("x")))
+        return {(r[0], r.x) for r in both.select(name, "x").distinct().collect()}
+
+    def near(a, b):
+        shorter = min(len(a), len(b))
+        return abs(len(a) - len(b)) <= 2 and edit_distance(a, b) <= min(2, shorter // 25)
+
+    want = {(a, b) for a in lines for b in lines if a < b and near(a, b)}
+    coarse = linked(entries_of(table.select("line", "n")), "h")
+    assert len(want) > 50
+    for pieces in (5, 9):
+        found = linked(finer_entries(table, pieces), "digest")
+        assert want <= found
+    assert len(found) - len(want) < 0.4 * (len(coarse) - len(want))
+
+
+def test_line_dedup_of_a_large_group_of_near_copies(spark, monkeypatch):
+    draw = random.Random(4)
+    base = "".join(draw.choice("abcde é") for _ in range(60))
+    docs = [(i, edited(draw, base, 2) + "\n" + edited(draw, base[:30], 1)) for i in range(60)]
+    docs += [(60 + i, edited(draw, draw.choice(docs)[1], 2)) for i in range(20)]
+    monkeypatch.setattr(line_dedups, "KEY_LINES", 3)
+    found = line_dedup(documents(spark, docs)).select("doc_id", "text", "n_lines", "n_removed")
+    assert rows_of(found) == plain_line_dedup(docs)
