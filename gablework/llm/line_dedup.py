@@ -129,14 +129,16 @@ def finer_entries(lines: DataFrame, pieces: int) -> DataFrame:
         return F.struct(key.alias("key"), ((c.longer_by == 0) & (c.moved == 0)).alias("own"))
 
     fitting = F.filter(listed, lambda c: c.edits == allowed(n - c.longer_by))
-    entries = lines.select("digest", "first_doc", "bits", F.explode(F.transform(fitting, entry)).alias("e"))
-    return entries.select("e.key", "e.own", "digest", "first_doc", "bits")
+    sketched = lines.select("digest", "first_doc", "bits", sketch(F.col("line"), "").alias("letters"), "line")
+    entries = sketched.select("digest", "first_doc", "bits", "letters", F.explode(F.transform(fitting, entry)).alias("e"))
+    return entries.select("e.key", "e.own", "digest", "first_doc", "bits", "letters")
 
 
-def sketch(line: Column) -> Column:
-    """64 parities of the hashed words of a line; one edit flips at most three of them (it may join two words)."""
+def sketch(line: Column, between: str = " ") -> Column:
+    """64 parities of the hashed words of a line; one edit flips at most three of them (it may join two words). With
+    nothing between them, of its characters; one edit flips at most two."""
     return F.aggregate(
-        F.split(line, " "),
+        F.split(line, between),
         F.lit(0).cast("long"),
         lambda bits, word: bits.bitwiseXOR(
             F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.hash(word), F.lit(64)))
@@ -217,11 +219,14 @@ def near_lines(placed: DataFrame, lines: DataFrame, hot: DataFrame) -> DataFrame
             large = None if large.isEmpty() else large
         if large is not None:
             left, x = (part.join(large, "key", "left_anti") for part in (left, x))
-        x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in ("digest", "first_doc", "bits", "own")])
+        x = x.select("key", *[F.col(c).alias(f"x_{c}") for c in x.columns if c != "key"])
+        alike = F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= 3 * MAX_EDITS
+        if "letters" in entries.columns:
+            alike = alike & (F.bit_count(F.col("letters").bitwiseXOR(F.col("x_letters"))) <= 2 * MAX_EDITS)
         pairs = left.join(x, "key").where(
             (F.col("own") | F.col("x_own"))
             & (F.struct("x_first_doc", "x_digest") < order)
-            & (F.bit_count(F.col("bits").bitwiseXOR(F.col("x_bits"))) <= 3 * MAX_EDITS)
+            & alike
         )
         rest = verified(pairs.select(F.col("x_digest").alias("before"), F.col("digest").alias("after")))
         if large is None:

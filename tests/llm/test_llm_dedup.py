@@ -259,6 +259,9 @@ def test_finer_keys_part_a_large_group_and_lose_no_near_line(spark):
     for pieces in (5, 9):
         found = linked(finer_entries(table, pieces), "digest")
         assert want <= found
+    bits = table.select("digest", line_dedups.sketch(F.col("line"), "").alias("bits")).collect()
+    bits = {r.digest: r.bits & (2**64 - 1) for r in bits}
+    assert all((bits[a] ^ bits[b]).bit_count() <= 4 for a, b in want)
     assert len(found) - len(want) < 0.4 * (len(coarse) - len(want))
 
 
